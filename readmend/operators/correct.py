@@ -30,7 +30,7 @@ def with_solid_flags(df: DataFrame, searcher: Searcher) -> DataFrame:
     """`flags` of reads past the gate ('' for others) and `weak`: some k-mer is
     not solid, so there is something to repair."""
     df = df.withColumn("_gated", F.when(F.col("gate"), F.col("seq")))
-    df = searcher.flags(df, "_gated", "flags").drop("_gated")
+    df = searcher.test(df, {"flags": ("flags", "_gated")}).drop("_gated")
     return df.withColumn("weak", F.col("flags").contains("0"))
 
 

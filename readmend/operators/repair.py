@@ -34,31 +34,28 @@ _NO_LISTS = f"cast(array() as {_EDIT_LISTS})"
 
 
 class Searcher(Protocol):
-    """How a frame's strings and walks are tested against the solid k-mers."""
+    """How columns of a frame are tested against the solid k-mers."""
 
-    def flags(self, df: DataFrame, seq: str, out: str) -> DataFrame: ...
-    def flags_each(self, df: DataFrame, strings: str, out: str) -> DataFrame: ...
-    def walks(self, df: DataFrame, tasks: str, out: str) -> DataFrame: ...
-    def exists(self, df: DataFrame, tasks: str, out: str) -> DataFrame: ...
+    def test(self, df: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+        """Adds columns {name: (kind of test, input column)}; the kinds are
+        those of `readmend.functions.probes`: flags, flags_each, walks, exists."""
+
+
+_TESTS = {"flags": solid_flags, "flags_each": solid_flags_each,
+          "walks": solid_walks, "exists": any_walk}
 
 
 @dataclass(frozen=True)
 class ShippedSearcher:
-    """Tests inside the tasks against data on every executor."""
+    """Tests inside the tasks against data on every executor. Tests asked for
+    together run in one Python pass."""
 
     members: object
 
-    def flags(self, df, seq, out):
-        return df.withColumn(out, solid_flags(self.members, F.col(seq)))
-
-    def flags_each(self, df, strings, out):
-        return df.withColumn(out, solid_flags_each(self.members, F.col(strings)))
-
-    def walks(self, df, tasks, out):
-        return df.withColumn(out, solid_walks(self.members, F.col(tasks)))
-
-    def exists(self, df, tasks, out):
-        return df.withColumn(out, any_walk(self.members, F.col(tasks)))
+    def test(self, df, wanted):
+        return df.withColumns({
+            name: _TESTS[kind](self.members, F.col(column))
+            for name, (kind, column) in wanted.items()})
 
 
 # --- candidates for the first k-mer -------------------------------------------
@@ -110,7 +107,7 @@ def with_first_kmer_candidates(df: DataFrame, searcher: Searcher, k: int) -> Dat
     Without low bases a solid k-mer stands as it is. With one to three the
     combinations decide, and single changes only follow if none is solid.
     """
-    df = searcher.flags_each(df, "variant_kmers", "_variant_flags")
+    df = searcher.test(df, {"_variant_flags": ("flags_each", "variant_kmers")})
     # (results of a test enter lambdas as arguments only, see `with_walks`)
     solid = ("filter(zip_with(variants, _variant_flags, (v, f) -> if(f = '1', v, null)), "
              "v -> v is not null)")
@@ -202,11 +199,11 @@ def with_walks(df: DataFrame, searcher: Searcher, k: int, max_extension: int) ->
 
     Columns made by a test are handed to higher-order functions as arguments
     and never named inside a lambda body: the optimizer may put the test in
-    place of the name, and a test cannot run inside a lambda.
+    place of the name, and a test cannot run inside a lambda. Their inputs
+    are read again afterwards, which keeps both in the step they were put in.
     """
     df = df.withColumn("_search", F.expr(
         "transform(tasks, t -> named_struct('ctx', t.ctx, 'own', t.own, 'forced', t.forced))"))
-    df = searcher.walks(df, "_search", "_walks")
     # a candidate whose change is near the start must extend to the left
     smallest = "get(t.edits, 0).pos"
     left = (
@@ -218,19 +215,19 @@ def with_walks(df: DataFrame, searcher: Searcher, k: int, max_extension: int) ->
         f"'steps', least({max_extension}, {k - 1} - {smallest})), "
         "named_struct('ctx', '', 'steps', 0)))"
     )
-    df = searcher.exists(df.withColumn("_left", F.expr(left)), "_left", "_left_ok")
+    df = searcher.test(df.withColumn("_left", F.expr(left)), {
+        "_walks": ("walks", "_search"), "_left_ok": ("exists", "_left")})
     edits = (
-        "concat(t.edits, transform(filter(sequence(0, length(t.own) - 1), "
-        "u -> substring(w, u + 1, 1) <> substring(t.own, u + 1, 1)), "
-        "u -> named_struct('pos', t.p0 + u, 'base', substring(w, u + 1, 1))))"
+        "concat(z.tasks.edits, transform(filter(sequence(0, length(z.tasks.own) - 1), "
+        "u -> substring(w, u + 1, 1) <> substring(z.tasks.own, u + 1, 1)), "
+        "u -> named_struct('pos', z.tasks.p0 + u, 'base', substring(w, u + 1, 1))))"
     )
-    walks = ("transform(coalesce(z.w, cast(array() as array<string>)), "
+    walks = ("transform(coalesce(z._walks, cast(array() as array<string>)), "
              f"w -> named_struct('walk', w, 'edits', {edits}))")
-    zipped = ("zip_with(zip_with(tasks, _walks, (t, w) -> named_struct('t', t, 'w', w)), "
-              "_left_ok, (z, ok) -> named_struct('t', z.t, 'w', z.w, 'ok', ok))")
     df = df.withColumn("_t", F.expr(
-        f"transform(filter({zipped}, z -> z.ok), z -> named_struct('t', z.t, "
-        f"'given_up', z.w is null, 'walks', {walks.replace('t.', 'z.t.')}))"))
+        "transform(filter(arrays_zip(tasks, _search, _walks, _left, _left_ok), "
+        "z -> z._left.steps = 0 or z._left_ok), z -> named_struct('t', z.tasks, "
+        f"'given_up', z._walks is null, 'walks', {walks}))"))
     # what has to hold past the last change: at an end, some extension outside
     # the read; in a gap, most k-mers up to that change
     flat = "flatten(transform(_t, x -> transform(x.walks, y -> {inner})))"
@@ -249,11 +246,12 @@ def with_walks(df: DataFrame, searcher: Searcher, k: int, max_extension: int) ->
     )
     df = df.withColumn("_outside", F.expr(flat.format(inner=outside))).withColumn(
         "_past", F.expr(flat.format(inner=past)))
-    df = searcher.exists(df, "_outside", "_outside_ok")
-    df = searcher.flags_each(df, "_past", "_past_flags")
+    df = searcher.test(df, {
+        "_outside_ok": ("exists", "_outside"), "_past_flags": ("flags_each", "_past")})
     df = df.withColumn("_valid", F.expr(
-        "zip_with(_outside_ok, _past_flags, (ok, f) -> ok and "
-        f"length(replace(f, '1', '')) <= {C.ALLOWED_FAILS})"))
+        "transform(arrays_zip(_outside, _outside_ok, _past, _past_flags), z -> "
+        "(z._outside.steps = 0 or z._outside_ok) and (z._past = '' or "
+        f"length(replace(z._past_flags, '1', '')) <= {C.ALLOWED_FAILS}))"))
     # lists of task m start at the number of walks of the tasks before it
     start = "aggregate(slice(_t, 1, m), 0, (c, z) -> c + size(z.walks))"
     lists = ("transform(filter(transform(x.walks, (y, n) -> named_struct('edits', y.edits, "
