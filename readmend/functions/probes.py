@@ -1,7 +1,8 @@
 """Arrow column functions that test strings and walks against shipped k-mers.
 
-Three primitives carry the whole repair: flags of a string's k-mers, the walks
-that keep every k-mer solid, and whether any walk exists at all.
+Four primitives carry the whole repair: flags of a string's k-mers, the changed
+forms of a k-mer that are solid, the walks that keep every k-mer solid, and
+whether any walk exists at all.
 
 They are declared nondeterministic although they are not: the optimizer then
 computes each once and leaves it where it is. Otherwise it copies a test into
@@ -172,3 +173,89 @@ def any_walk(members, tasks: Column) -> Column:
         return kc.list_array(_lengths(col), pa.array(found))
 
     return walk_exists.asNondeterministic()(tasks)
+
+
+#: k-mers whose changed forms are tested at once.
+_SLICE = 2000
+
+
+def _changed_forms(members, kmers, spots, spot_counts):
+    """Solid forms of each k-mer (a code matrix): (row, group, form) in order."""
+    k, n = members.k, len(kmers)
+    word = kc.word_type(k)
+    one = (lambda v: np.uint64(v)) if word is np.uint64 else int
+    forward, reverse = np.zeros(n, dtype=word), np.zeros(n, dtype=word)
+    for j in range(k):
+        base = kmers[:, j].astype(word)
+        forward = (forward << one(2)) | base
+        reverse = reverse | ((one(3) - base) << one(2 * j))
+    letters = np.arange(4).astype(word)
+
+    def varied(f, r, at):
+        """Every form with each of the four bases at `at` (one place a row)."""
+        high = ((k - 1 - at) * 2).astype(word)[:, None]
+        low = (at * 2).astype(word)[:, None]
+        f = (f & ~(one(3) << high))[:, :, None] | (letters << high)[:, None, :]
+        r = (r & ~(one(3) << low))[:, :, None] | ((one(3) - letters) << low)[:, None, :]
+        return f.reshape(len(at), -1), r.reshape(len(at), -1)
+
+    rows, groups, forms = [], [], []
+
+    def keep(of, group, f, r, wanted=None):
+        wanted = np.ones(f.shape, dtype=bool) if wanted is None else wanted
+        hit = np.zeros(f.shape, dtype=bool)
+        hit[wanted] = members.contains(np.minimum(f, r)[wanted])
+        row, col = np.nonzero(hit)
+        rows.append(of[row])
+        groups.append(np.full(len(row), group))
+        forms.append(f[row, col])
+
+    for size in np.unique(spot_counts):
+        of = np.flatnonzero(spot_counts == size)
+        f, r = forward[of, None], reverse[of, None]
+        for j in range(size):
+            f, r = varied(f, r, spots[of, j])
+        keep(of, 0, f, r)
+    everyone = np.arange(n)
+    single = [varied(forward[:, None], reverse[:, None], np.full(n, at)) for at in range(k)]
+    keep(everyone, 1, np.concatenate([f for f, _ in single], axis=1),
+         np.concatenate([r for _, r in single], axis=1),
+         (np.arange(4) != kmers[:, :, None]).reshape(n, -1))
+    keep(everyone, 2, forward[:, None], reverse[:, None])
+    row, group, form = (np.concatenate(x) for x in (rows, groups, forms))
+    order = np.argsort(row, kind="stable")
+    return row[order], group[order], form[order]
+
+
+def solid_changes(members, kmers: Column) -> Column:
+    """struct<kmer,spots> to array<struct<group,kmer>>: its solid forms. Group 0
+    varies the bases at the spots, first spot slowest; 1 changes one base; 2 is
+    the k-mer itself. A form reached in two ways appears twice. Null is empty."""
+
+    @arrow_udf("array<struct<group:int,kmer:string>>")
+    def changes_of_kmers(col: pa.Array) -> pa.Array:
+        given = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
+        some = col.take(pa.array(given))
+        codes, _ = kc.string_codes(some.field("kmer"))
+        codes = codes.reshape(len(given), members.k)
+        spot_counts = _lengths(some.field("spots"))
+        flat = some.field("spots").flatten().to_numpy(zero_copy_only=False)
+        spots = np.zeros((len(given), int(spot_counts.max(initial=0))), dtype=np.int64)
+        spots[np.arange(spots.shape[1]) < spot_counts[:, None]] = flat
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64),
+                  np.zeros(0, kc.word_type(members.k)))]
+        for at in range(0, len(given), _SLICE):
+            cut = slice(at, at + _SLICE)
+            row, group, form = _changed_forms(
+                members, codes[cut], spots[cut], spot_counts[cut])
+            parts.append((row + at, group, form))
+        row, group, form = (np.concatenate(x) for x in zip(*parts))
+        text = kc.to_bytes(form, members.k)
+        strings = pa.StringArray.from_buffers(
+            len(form), pa.py_buffer((np.arange(len(form) + 1) * members.k).astype(np.int32).tobytes()),
+            pa.py_buffer(text.tobytes()))
+        counts = np.bincount(given[row], minlength=len(col))
+        return kc.list_array(counts, pa.StructArray.from_arrays(
+            [pa.array(group.astype(np.int32)), strings], ["group", "kmer"]))
+
+    return changes_of_kmers.asNondeterministic()(kmers)

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from readmend import config as C
 from readmend.functions.bases import reverse_complement
-from readmend.functions.probes import any_walk, solid_flags, solid_flags_each, solid_walks
+from readmend.functions.probes import (
+    any_walk, solid_changes, solid_flags, solid_flags_each, solid_walks)
 
 _EDIT = "struct<pos:int,base:string>"
 _NO_EDITS = f"cast(array() as array<{_EDIT}>)"
@@ -38,10 +39,11 @@ class Searcher(Protocol):
 
     def test(self, df: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
         """Adds columns {name: (kind of test, input column)}; the kinds are
-        those of `readmend.functions.probes`: flags, flags_each, walks, exists."""
+        those of `readmend.functions.probes`: flags, flags_each, changes, walks,
+        exists."""
 
 
-_TESTS = {"flags": solid_flags, "flags_each": solid_flags_each,
+_TESTS = {"flags": solid_flags, "flags_each": solid_flags_each, "changes": solid_changes,
           "walks": solid_walks, "exists": any_walk}
 
 
@@ -60,45 +62,25 @@ class ShippedSearcher:
 
 # --- candidates for the first k-mer -------------------------------------------
 
-def with_first_kmer_variants(df: DataFrame, k: int, compat: str = "intended") -> DataFrame:
-    """`variants`: array<struct<group, edits>> for reads repaired as a whole,
-    else null. Groups: 0 combinations of up to three bases, 1 single changes,
-    2 the k-mer as it is."""
+def with_first_kmer_spots(df: DataFrame, k: int, compat: str = "intended") -> DataFrame:
+    """`first_kmer`: struct<kmer, spots> for reads repaired as a whole, else
+    null. The spots are the low bases of the first k-mer if there are one to
+    three, else its three bases of lowest score."""
     low_here = f"filter(low, p -> p < {k})"
-    by_quality = (f"transform(array_sort(transform(sequence(0, {k - 1}), "
-                  "p -> named_struct('q', element_at(qv, p + 1), 'p', p))), x -> x.p)")
-    if compat == "scalar":
-        # only the first n_low positions take part in the sort
-        many_low = (f"transform(array_sort(transform(sequence(0, size({low_here}) - 1), "
-                    "p -> named_struct('q', element_at(qv, p + 1), 'p', p))), x -> x.p)")
-    else:
-        many_low = by_quality
-    n_low = f"size({low_here})"
-    df = df.withColumn("_spots", F.expr(
-        f"case when by_region then null when {n_low} = 0 then slice({by_quality}, 1, 3) "
-        f"when {n_low} <= {C.LOW_BASES_IN_COMBOS} then {low_here} "
-        f"else slice({many_low}, 1, 3) end"))
-    bases = "array('A', 'C', 'G', 'T')"
-    change = ("if(substring(seq, p + 1, 1) = b, null, named_struct('pos', cast(p as int), "
-              "'base', b))")
-    # grow the combinations one spot at a time; edits are kept in read order
-    combos = (
-        f"aggregate(_spots, array({_NO_EDITS}), (lists, p) -> flatten(transform(lists, l -> "
-        f"transform({bases}, b -> array_sort(filter(concat(l, array({change})), "
-        "e -> e is not null))))))"
-    )
-    singles = (f"flatten(transform(sequence(0, {k - 1}), p -> filter(transform({bases}, "
-               f"b -> array({change})), e -> e[0] is not null)))")
-    group = "named_struct('group', {g}, 'edits', e)"
-    return df.withColumn("variants", F.expr(
-        "case when by_region then null else concat("
-        f"transform({combos}, e -> {group.format(g=0)}), "
-        f"transform({singles}, e -> {group.format(g=1)}), "
-        f"array(named_struct('group', 2, 'edits', {_NO_EDITS}))) end")).withColumn(
-        "variant_kmers", F.expr(
-            "transform(variants, v -> aggregate(v.edits, substring(seq, 1, "
-            f"{k}), (s, e) -> overlay(s placing e.base from e.pos + 1)))")).withColumn(
-        "_n_low", F.expr(n_low))
+
+    def by_quality(count: str) -> str:
+        return (f"transform(array_sort(transform(sequence(0, {count} - 1), "
+                "p -> named_struct('q', element_at(qv, p + 1), 'p', p))), x -> x.p)")
+
+    # the scalar rule sorts only as many positions as there are low bases
+    many = by_quality(f"size({low_here})") if compat == "scalar" else by_quality(str(k))
+    return df.withColumn("_n_low", F.expr(f"size({low_here})")).withColumn(
+        "first_kmer", F.expr(
+            "case when by_region then null else named_struct("
+            f"'kmer', substring(seq, 1, {k}), 'spots', case "
+            f"when _n_low = 0 then slice({by_quality(str(k))}, 1, {C.LOW_BASES_IN_COMBOS}) "
+            f"when _n_low <= {C.LOW_BASES_IN_COMBOS} then {low_here} "
+            f"else slice({many}, 1, {C.LOW_BASES_IN_COMBOS}) end) end"))
 
 
 def with_first_kmer_candidates(df: DataFrame, searcher: Searcher, k: int) -> DataFrame:
@@ -107,22 +89,24 @@ def with_first_kmer_candidates(df: DataFrame, searcher: Searcher, k: int) -> Dat
     Without low bases a solid k-mer stands as it is. With one to three the
     combinations decide, and single changes only follow if none is solid.
     """
-    df = searcher.test(df, {"_variant_flags": ("flags_each", "variant_kmers")})
-    # (results of a test enter lambdas as arguments only, see `with_walks`)
-    solid = ("filter(zip_with(variants, _variant_flags, (v, f) -> if(f = '1', v, null)), "
-             "v -> v is not null)")
-    edits = "transform(filter(_solid, v -> {test}), v -> v.edits)"
-    as_it_is = "exists(_solid, v -> v.group = 2)"
-    any_combo = "exists(_solid, v -> v.group = 0)"
-    return df.withColumn("_solid", F.expr(solid)).withColumn("candidates", F.expr(
-        "case when variants is null then null "
-        f"when _n_low = 0 and {as_it_is} then array({_NO_EDITS}) "
-        f"when _n_low = 0 then {edits.format(test='v.group < 2')} "
-        f"when _n_low <= {C.LOW_BASES_IN_COMBOS} and {any_combo} then "
-        f"{edits.format(test='v.group = 0')} "
-        f"when _n_low <= {C.LOW_BASES_IN_COMBOS} then {edits.format(test='v.group = 1')} "
-        f"else {edits.format(test='true')} end")
-    ).drop("variants", "variant_kmers", "_variant_flags", "_solid", "_spots", "_n_low")
+    df = searcher.test(df, {"_solid": ("changes", "first_kmer")})
+    edits = (
+        f"transform(filter(sequence(0, {k - 1}), p -> substring(v.kmer, p + 1, 1) <> "
+        "substring(first_kmer.kmer, p + 1, 1)), p -> named_struct('pos', p, 'base', "
+        "substring(v.kmer, p + 1, 1)))"
+    )
+    taken = (
+        "case when _n_low = 0 and exists(_solid, v -> v.group = 2) "
+        "then filter(_solid, v -> v.group = 2) "
+        "when _n_low = 0 then filter(_solid, v -> v.group < 2) "
+        f"when _n_low <= {C.LOW_BASES_IN_COMBOS} and exists(_solid, v -> v.group = 0) "
+        "then filter(_solid, v -> v.group = 0) "
+        f"when _n_low <= {C.LOW_BASES_IN_COMBOS} then filter(_solid, v -> v.group = 1) "
+        "else _solid end"
+    )
+    return df.withColumn("candidates", F.expr(
+        f"case when first_kmer is null then null else transform({taken}, v -> {edits}) end")
+    ).drop("_solid", "first_kmer", "_n_low")
 
 
 # --- what to search ----------------------------------------------------------------
@@ -454,7 +438,7 @@ def with_outcome(df: DataFrame, k: int) -> DataFrame:
 def repaired(df: DataFrame, searcher: Searcher, k: int, extremely_low: int,
              max_extension: int, compat: str = "intended") -> DataFrame:
     """The whole repair of reads that have `regions` and `by_region`."""
-    df = with_first_kmer_variants(df, k, compat)
+    df = with_first_kmer_spots(df, k, compat)
     df = with_first_kmer_candidates(df, searcher, k)
     df = with_tasks(df, k, extremely_low)
     df = with_walks(df, searcher, k, max_extension)
