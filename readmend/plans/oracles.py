@@ -109,6 +109,24 @@ pset as (select pair_id,
     from ed group by 1)"""
 
 
+_TRIMS = """
+dt as (select pair_id, length(seq1) n,
+        case when length(seq1) <= 30 then 0
+             else least(length(seq1) * 60 // 100, length(seq1) - 30) end m,
+        case when disputed = '' then cast([] as int[])
+             else list_transform(string_split(disputed, ','), lambda x: cast(x as int)) end pos
+    from pairs join pset using (pair_id)),
+st(pair_id, n, m, pos, l, r, t5, t3, go, step) as (
+    select pair_id, n, m, pos, 1, len(pos), 0, 0, len(pos) > 0, 0 from dt
+    union all
+    select pair_id, n, m, pos, case when a < b then l + 1 else l end,
+        case when a < b then r else r - 1 end,
+        case when a < b then greatest(a, t5) else t5 end,
+        case when a < b then t3 else greatest(b, t3) end, l < r, step + 1
+    from (select *, pos[l] + 1 a, n - pos[r] b from st where go)
+    where case when a < b then a + t3 <= m else b <= m end)"""
+
+
 def _q(select: str, *parts: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}" + ",".join((_PAIRS, *parts)) + "\n" + select
 
@@ -230,6 +248,9 @@ best as (select min(w) bw, arg_min(j, w) bj from cand)"""),
         join solid on kmer = least(c, reverse(translate(c, 'ACGT', 'TGCA')))""",
         _SPECTRUM, _NORM),
     "path_set_ops": _q("select pair_id, n_common, n_union, disputed from pset", _SETS),
+    "disputed_trims": _q(
+        "select pair_id, cast(arg_max(t5, step) as int) t5, cast(arg_max(t3, step) as int) t3 "
+        "from st group by 1", _SETS, _TRIMS, recursive=True),
     "trim_reconcile": _q(
         """select read_id,
         cast(case when t5 + t3 <= m then t5 when t3 <= m then 0 when t5 <= m then t5

@@ -92,3 +92,19 @@ def test_no_filter_beyond_the_limit(spark, simulated, tmp_path):
     _, _, solid, texts = prepared(spark, simulated, 21, 5)
     assert bloom.build_filter(solid, 21, len(texts), 5, f"{tmp_path}/m", ship_limit=100) is None
     assert bloom.ship_kmers(solid, 21, len(texts), ship_limit=100) is None
+
+
+def test_correction_with_shipped_kmers_does_not_shuffle(spark, simulated):
+    reads, profile, solid, texts = prepared(spark, simulated, 21, 5)
+    searcher = ShippedSearcher(bloom.ship_kmers(solid, 21, len(texts)))
+    plan = correct.corrected(reads, searcher, 21, profile)._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString()
+
+
+def test_scalar_rules_differ_only_where_stated(spark, simulated):
+    reads, profile, solid, texts = prepared(spark, simulated, 21, 5)
+    searcher = ShippedSearcher(bloom.ship_kmers(solid, 21, len(texts)))
+    same = as_dict(correct.corrected(reads, searcher, 21, profile))
+    other = as_dict(correct.corrected(reads, searcher, 21, profile, compat="scalar"))
+    assert same.keys() == other.keys()
+    assert sum(same[i] != other[i] for i in same) < len(same) * 0.1
