@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from readmend.llm import balance, line_cleaning, packing, token_files
+from readmend.llm import balance, line_cleaning, minhash, order_minhash, packing, token_files
 from readmend.llm.common import table
 from readmend.llm.tokens import public_path
 
@@ -14,6 +14,10 @@ def op2_line_cleaning(spark, sf_dir):
     return cleaned.drop("clean_text")
 
 
+def op4_order_minhash(spark, sf_dir):
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_linear_grouping(spark, sf_dir):
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
@@ -31,6 +35,11 @@ def op8_token_files(spark, sf_dir):
     return token_files.read_token_files(manifest)
 
 
+def op10_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_line_cleaning, op6_linear_grouping, op7_entropy_balancing, op8_token_files)}
+    op2_line_cleaning, op4_order_minhash, op6_linear_grouping, op7_entropy_balancing,
+    op8_token_files, op10_minhash)}
 ORACLES = {"op2_line_cleaning": line_cleaning.oracle()}
