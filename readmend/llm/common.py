@@ -38,12 +38,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learnt from. Labels of one
-    doc_id that disagree, or are null, are left out; several rows of a doc_id with
-    different texts all count."""
-    clean = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+def learning_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """(doc_id, text, label) of at most `most[value]` documents of each label value, chosen
+    by a hash of the doc_id, none of them held out. Labels that are null, or disagree on
+    one doc_id, are left out. Only ids are sorted; the texts meet the chosen ids, a bounded
+    number, by a broadcast."""
+    clean = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
              .where("low = high").select("doc_id", F.col("low").cast("int").alias("label")))
-    own = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return own.join(clean, "doc_id")
+    chosen = None
+    for value, n in most.items():
+        part = clean.where(F.col("label") == value).orderBy(
+            F.xxhash64("doc_id"), "doc_id").limit(n)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+        F.broadcast(chosen), "doc_id")
