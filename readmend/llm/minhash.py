@@ -12,9 +12,11 @@ the full sets, and components by large-star and small-star.
    inside the join. Each is confirmed on the full sets, in integers.
 4. Groups of near copies would make all pairs. So each bucket first tests its members
    against one of them, the pivot; components found so are left out of what follows. After
-   `PIVOTS` such rounds the documents that are not in the component of their bucket's
-   pivot, few, meet every member of another component. Only pairs inside one component,
-   which can't change the result, are never tested.
+   `PIVOTS` such rounds the documents outside of their bucket's main component are tested
+   against every block of up to `BLOCK_DOCS` members of another component in the bucket:
+   one row for a document and a block, sketches and then full sets inside, and at most one
+   link out. Only pairs inside one component, which can't change the result, are never
+   tested. This last test costs (documents outside) x (members) / `BLOCK_DOCS` rows.
 
 Rows without a doc_id take no part: their component is null and they are kept. Rows that
 share a doc_id are one document: what is linked to one of its texts is linked to it.
@@ -39,6 +41,7 @@ SIMILARITY_PCT = 75
 HASHES, BANDS, ROWS = 256, 40, 5
 MIN_AGREEING = 195
 PIVOTS = 2
+BLOCK_DOCS, SLICE_DOCS = 256, 400
 _BLOCK = 512
 
 _SEEDS = np.random.default_rng(75)
@@ -101,6 +104,11 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= SIMILARITY_PCT * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
     def check(batches):
@@ -111,8 +119,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 # a pivot comes again and again
                 sets = [known[t] if t in known else known.setdefault(t, shingles(t))
                         for t in (text_a, text_b)]
-                common = len(np.intersect1d(*sets, assume_unique=True))
-                good.append(100 * common >= SIMILARITY_PCT * (len(sets[0]) + len(sets[1]) - common))
+                good.append(_similar(*sets))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(keep), batch.column("b").filter(keep)], ["u", "v"])
@@ -150,6 +157,65 @@ def _labelled(members: DataFrame, edges: DataFrame | None) -> DataFrame:
     return stored(found.join(main, "bucket"), "buckets")
 
 
+def _links_to_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) of each document outside of its bucket's main component with other
+    components of the bucket, one for each block and component. Blocks hold documents
+    whose buckets have one main component in common."""
+    numbers = ["n", "s0", "s1", "s2", "s3"]
+    text = texts.select(F.col("doc_id").alias("rep"), "text")
+    reps = rows.groupBy("rep", "component", *numbers).agg(F.min("main").alias("home"))
+    sizes = reps.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    reps = stored(reps.join(sizes, "home").withColumn("part", F.pmod(
+        F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK_DOCS))), "open")
+    places = rows.join(reps.select("rep", "home", "part").distinct(), "rep").groupBy(
+        "bucket", "home", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    outside = rows.where("component <> main").select("bucket", "rep", "component")
+    tasks = stored(outside.join(places, "bucket").where(
+        "component <> low or component <> high").select("rep", "home", "part").distinct(), "tasks")
+    slices = tasks.groupBy("home", "part").agg(
+        F.ceil(F.count(F.lit(1)) / SLICE_DOCS).alias("slices"))
+    members = (reps.join(slices, ["home", "part"])
+               .withColumn("slice", F.explode(F.expr("sequence(0L, slices - 1)")))
+               .join(text, "rep"))
+    askers = (tasks.join(slices, ["home", "part"])
+              .withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")))
+              .join(reps.select("rep", "component", *numbers), "rep").join(text, "rep"))
+    keys = ["home", "part", "slice"]
+    columns = ["rep", "component", *numbers, "text"]
+
+    def read(t: pa.Table):
+        rep, component, n, *bits = (t.column(c) for c in t.column_names[3:-1])
+        return (rep.to_pylist(), component.to_numpy(), n.to_numpy(),
+                np.stack([b.to_numpy() for b in bits], 1).view(np.uint64),
+                t.column(t.num_columns - 1).to_pylist())
+
+    def test(asking: pa.Table, block: pa.Table) -> pa.Table:
+        found, known = ([], []), {}
+        if asking.num_rows and block.num_rows:
+            ids, components, sizes, bits, own = read(block)
+            for rep, component, n, mine, asked in zip(*read(asking)):
+                agreeing = HASHES - np.bitwise_count(bits ^ mine).sum(1, dtype=np.int64)
+                order = np.flatnonzero(
+                    (components != component) & (agreeing >= MIN_AGREEING)
+                    & (100 * np.minimum(sizes, n) >= SIMILARITY_PCT * np.maximum(sizes, n)))
+                items, linked = shingles(asked) if len(order) else None, set()
+                for j in order[np.argsort(-agreeing[order], kind="stable")]:
+                    if components[j] in linked:
+                        continue
+                    if j not in known:
+                        known[j] = shingles(own[j])
+                    if _similar(items, known[j]):
+                        linked.add(components[j])
+                        found[0].append(rep)
+                        found[1].append(ids[j])
+        return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
+
+    # columns under names of their own: both sides come from the same tables
+    asking = askers.select(*[F.col(c).alias(f"ask_{c}") for c in keys + columns])
+    return asking.groupBy(*[f"ask_{c}" for c in keys]).cogroup(
+        members.select(*keys, *columns).groupBy(*keys)).applyInArrow(test, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     table = stored(signed(docs), "signatures")
@@ -188,13 +254,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                       + _plausible("m", "p")))
         pairs = _pairs(pairs.select(F.col("m.rep").alias("x"), F.col("p.rep").alias("y")))
         edges = stored(edges.union(confirmed(pairs, texts)), "links")
-    open_rows = _labelled(members, edges)
-    pairs = open_rows.where("component <> main").alias("m").join(
-        open_rows.alias("p"), F.expr(
-            "m.bucket = p.bucket and m.component <> p.component "
-            "and (p.component = p.main or m.rep < p.rep) and " + _plausible("m", "p")))
-    pairs = _pairs(pairs.select(F.col("m.rep").alias("x"), F.col("p.rep").alias("y")))
-    edges = stored(edges.union(confirmed(pairs, texts)), "links")
+    edges = stored(edges.union(_links_to_blocks(_labelled(members, edges), texts)), "links")
 
     names = connected_components(edges).select(F.col("node").alias("rep"), "component")
     groups = reps.join(names, "rep", "left").select(
