@@ -18,7 +18,7 @@ def new_name(folder: str, kind: str) -> str:
 def writer(path: str):
     system, inner = resolve(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(inner) as f:
+    with system.open_output_stream(inner, compression=None) as f:
         yield f
 
 
