@@ -46,9 +46,9 @@ LOW_BASES_IN_COMBOS = 3
 BASES = "ACGT"
 # -----------------------------------------------------------------------------
 
-#: Largest filter (bytes) that is shipped whole to the executors. Beyond it the
-#: membership test is a shuffle join on the k-mer.
-DEFAULT_SHIP_LIMIT = 512 * 1024 * 1024
+#: Most bytes that a 32-bit hash addresses. Up to here filter or k-mers are shipped
+#: to the executors; larger ones have parts, and tests move to the parts.
+PART_BYTES = 512 * 1024 * 1024
 
 
 class ConfigError(ValueError):
@@ -74,7 +74,8 @@ class RunConfig:
     gzip: bool = False
     phred_rule: str | None = None  # None: by `paired`
     compat: str = "intended"
-    ship_limit: int = DEFAULT_SHIP_LIMIT
+    part_bytes: int = PART_BYTES
+    membership: str = "filter"     # or "exact": the solid k-mers themselves
 
     def __post_init__(self) -> None:
         if not MIN_KMER_LENGTH <= self.k <= MAX_KMER_LENGTH:
@@ -90,6 +91,10 @@ class RunConfig:
             raise ConfigError("the extension must be at least 1")
         if self.compat not in ("intended", "scalar"):
             raise ConfigError("compat must be 'intended' or 'scalar'")
+        if self.membership not in ("filter", "exact"):
+            raise ConfigError("membership must be 'filter' or 'exact'")
+        if self.part_bytes < 1:
+            raise ConfigError("a part of the filter has at least one byte")
         if self.rule not in PHRED_LIMITS:
             raise ConfigError(f"unknown phred rule {self.rule}")
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import SparkFiles
 
 from readmend.config import PACKED_MAX_K
 from readmend.functions import kmer_codes as kc
 from readmend.functions.murmur import murmur3_32
+from readmend.sources import files
 
 _MAPPED: dict[str, np.ndarray] = {}
 
@@ -30,6 +32,65 @@ def _mapped(name: str, dtype) -> np.ndarray:
     return _MAPPED[name]
 
 
+def key_bytes(col: pa.Array, k: int) -> np.ndarray:
+    """Canonical k-mers, packed or strings, as the rows of a byte matrix."""
+    if pa.types.is_integer(col.type):
+        return kc.to_bytes(col.to_numpy(zero_copy_only=False).astype(np.uint64), k)
+    return np.frombuffer("".join(col.to_pylist()).encode(), np.uint8).reshape(len(col), k)
+
+
+def _all_set(bits: np.ndarray, keys: np.ndarray, width_bits: int, seeds) -> np.ndarray:
+    """Which keys have every seed's bit set."""
+    found = np.zeros(len(keys), dtype=bool)
+    left = np.arange(len(keys))
+    for seed in seeds:
+        position = murmur3_32(keys, seed).astype(np.int64) % width_bits
+        hit = (bits[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
+        left, keys = left[hit], keys[hit]
+        if not len(left):
+            break
+    found[left] = True
+    return found
+
+
+_PART: dict[str, np.ndarray] = {}
+
+
+@dataclass(frozen=True)
+class FilterParts:
+    """A filter's files. A worker holds the last part it was asked for."""
+
+    prefix: str
+    k: int
+    part_bits: int
+    seeds: tuple[int, ...]
+    parts: int
+    part_seed: int
+
+    def path(self, part: int) -> str:
+        return f"{self.prefix}.bf.data" + (f".{part:05d}" if self.parts > 1 else "")
+
+    def part_of(self, keys: np.ndarray) -> np.ndarray:
+        return (murmur3_32(keys, self.part_seed) % np.uint32(self.parts)).astype(np.int32)
+
+    def _bits(self, part: int) -> np.ndarray:
+        path = self.path(part)
+        if path not in _PART:
+            _PART.clear()
+            data = np.frombuffer(files.read_bytes(path), np.uint8)
+            if 8 * len(data) != self.part_bits:
+                raise ValueError(f"{path}: {self.part_bits // 8} bytes expected")
+            _PART[path] = data
+        return _PART[path]
+
+    def contains(self, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), dtype=bool)
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            found[mine] = _all_set(self._bits(int(p)), keys[mine], self.part_bits, self.seeds)
+        return found
+
+
 @dataclass(frozen=True)
 class ShippedFilter:
     """Bloom bit vector: every seed's bit must be set."""
@@ -40,18 +101,8 @@ class ShippedFilter:
     seeds: tuple[int, ...]
 
     def contains(self, values: np.ndarray) -> np.ndarray:
-        bits = _mapped(self.file, np.uint8)
-        found = np.zeros(len(values), dtype=bool)
-        left = np.arange(len(values))
-        keys = kc.to_bytes(values, self.k)
-        for seed in self.seeds:
-            position = murmur3_32(keys, seed).astype(np.int64) % self.width_bits
-            hit = (bits[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
-            left, keys = left[hit], keys[hit]
-            if not len(left):
-                break
-        found[left] = True
-        return found
+        return _all_set(_mapped(self.file, np.uint8), kc.to_bytes(values, self.k),
+                        self.width_bits, self.seeds)
 
 
 @dataclass(frozen=True)

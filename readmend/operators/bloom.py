@@ -15,11 +15,12 @@ from pyspark.sql.functions import arrow_udf
 from readmend import config as C
 from readmend.functions import kmer_codes as kc
 from readmend.functions.bases import pack_kmer
-from readmend.functions.membership import ShippedFilter, ShippedKmers
+from readmend.functions.membership import FilterParts, ShippedFilter, ShippedKmers, key_bytes
 from readmend.functions.murmur import libc_random, murmur3_32
 from readmend.sources import files
 from readmend.sources.scratch import scratch_dir
 
+_SPREAD = 1024
 _BUCKET_BYTES = 4096   # bitmap_construct_agg works in buckets of 32768 bits
 
 
@@ -56,33 +57,53 @@ class FilterModel:
     seed: int
     num_kmers: int
     prefix: str
+    parts: int = 1
 
     @property
     def width_bytes(self) -> int:
         return self.width_bits // 8
 
+    @property
+    def part_bits(self) -> int:
+        return self.width_bits // self.parts
+
     @property
     def seeds(self) -> tuple[int, ...]:
         return tuple(libc_random(self.seed, self.num_hash))
 
+    @property
+    def part_seed(self) -> int:
+        """Of the hash that chooses a k-mer's part: the one after the others."""
+        return libc_random(self.seed, self.num_hash + 1)[-1]
+
+    @property
+    def in_parts(self) -> FilterParts:
+        return FilterParts(self.prefix, self.k, self.part_bits, self.seeds, self.parts,
+                           self.part_seed)
+
     def save_figures(self) -> None:
         figures = (self.width_bits, self.width_bytes, self.num_hash, self.k,
                    self.threshold, self.seed, self.num_kmers)
+        if self.parts > 1:
+            figures += (self.parts,)
         files.write_text(f"{self.prefix}.bf.size", " ".join(map(str, figures)) + "\n")
 
     @staticmethod
     def load(prefix: str, k: int | None = None) -> FilterModel:
         fields = files.read_text(f"{prefix}.bf.size").split()
-        if len(fields) != 7:
-            raise C.InputError(f"{prefix}.bf.size: seven figures expected, got {len(fields)}")
-        bits, size, hashes, stored_k, threshold, seed, n = map(int, fields)
+        if len(fields) not in (7, 8):
+            raise C.InputError(f"{prefix}.bf.size: seven or eight figures expected, got {len(fields)}")
+        bits, size, hashes, stored_k, threshold, seed, n, *parts = map(int, fields)
         if k is not None and stored_k != k:
             raise C.ConfigError(f"the stored filter has k={stored_k}, not {k}")
         if size * 8 != bits:
             raise C.InputError(f"{prefix}.bf.size: {bits} bits are not {size} bytes")
-        return FilterModel(bits, hashes, stored_k, threshold, seed, n, prefix)
+        return FilterModel(bits, hashes, stored_k, threshold, seed, n, prefix, *parts)
 
     def ship(self, spark: SparkSession) -> ShippedFilter:
+        """Only a filter of one part is small enough."""
+        if self.parts > 1:
+            raise C.ConfigError("a filter in parts is not shipped")
         data = files.read_bytes(f"{self.prefix}.bf.data")
         if len(data) != self.width_bytes:
             raise C.InputError(f"{self.prefix}.bf.data: {self.width_bytes} bytes expected")
@@ -94,52 +115,77 @@ def bit_positions(kmer: Column, k: int, width_bits: int, seeds: tuple[int, ...])
 
     @arrow_udf("array<bigint>")
     def positions_of_kmer(col: pa.Array) -> pa.Array:
-        if pa.types.is_integer(col.type):
-            keys = kc.to_bytes(col.to_numpy(zero_copy_only=False).astype(np.uint64), k)
-        else:
-            data = "".join(col.to_pylist()).encode()
-            keys = np.frombuffer(data, np.uint8).reshape(len(col), k)
+        keys = key_bytes(col, k)
         bits = np.stack([murmur3_32(keys, s).astype(np.int64) % width_bits for s in seeds], axis=1)
         return kc.list_array(np.full(len(col), len(seeds)), pa.array(bits.ravel()))
 
     return positions_of_kmer(kmer)
 
 
-def filter_bits(solid: DataFrame, k: int, width_bits: int, seeds: tuple[int, ...]) -> DataFrame:
-    """(bucket, bits): the bit vector in pieces of 4096 bytes.
+def part_of(kmer: Column, parts: FilterParts) -> Column:
+    """The part of the filter that holds a canonical k-mer's bits."""
+
+    @arrow_udf("int")
+    def part_of_kmer(col: pa.Array) -> pa.Array:
+        return pa.array(parts.part_of(key_bytes(col, parts.k)))
+
+    return part_of_kmer(kmer)
+
+
+def filter_bits(solid: DataFrame, model: FilterModel) -> DataFrame:
+    """(part, bucket, bits): the bit vectors in pieces of 4096 bytes.
 
     Positions are reduced to bitmaps on the map side and OR-ed per bucket after
     the shuffle, so what moves is bounded by the filter and not by the k-mers.
     """
-    positions = solid.select(
-        F.explode(bit_positions(F.col("kmer"), k, width_bits, seeds)).alias("p"))
+    part = F.lit(0) if model.parts == 1 else part_of(F.col("kmer"), model.in_parts)
+    positions = solid.select(part.alias("part"), F.explode(
+        bit_positions(F.col("kmer"), model.k, model.part_bits, model.seeds)).alias("p"))
     # the bitmap functions count from 1
     return positions.groupBy(
-        (F.bitmap_bucket_number(F.col("p") + 1) - 1).alias("bucket")
+        "part", (F.bitmap_bucket_number(F.col("p") + 1) - 1).alias("bucket")
     ).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
 
 
 def build_filter(solid: DataFrame, k: int, num_kmers: int, threshold: int, prefix: str,
                  fpr: float = 0.001, seed: int = 0,
-                 ship_limit: int = C.DEFAULT_SHIP_LIMIT) -> FilterModel | None:
-    """Build and save the filter; None if it is larger than `ship_limit`."""
+                 part_bytes: int = C.PART_BYTES) -> FilterModel:
+    """Build and save the filter.
+
+    A 32-bit hash addresses `C.PART_BYTES` at most. A larger filter has parts of
+    equal width, each a file; another hash of the k-mer says in which part all
+    of its bits are. Tasks write the parts, a task holds one of them at a time.
+    """
     bits, hashes = filter_size(num_kmers, fpr)
-    if bits // 8 > min(ship_limit, C.DEFAULT_SHIP_LIMIT):
-        return None
-    model = FilterModel(bits, hashes, k, threshold, seed, num_kmers, prefix)
-    vector = np.zeros(-(-model.width_bytes // _BUCKET_BYTES) * _BUCKET_BYTES, dtype=np.uint8)
-    pieces = filter_bits(solid, k, bits, model.seeds).toArrow()  # ship_limit bytes at most
-    rows = np.asarray(pieces.column("bucket").combine_chunks())
-    for bucket, piece in zip(rows, pieces.column("bits")):
-        start = bucket * _BUCKET_BYTES
-        vector[start:start + _BUCKET_BYTES] = np.frombuffer(piece.as_buffer(), np.uint8)
-    files.write_bytes(f"{prefix}.bf.data", vector[:model.width_bytes].tobytes())
+    parts = -(-bits // (8 * min(part_bytes, C.PART_BYTES)))
+    bits += -bits % (8 * parts)
+    model = FilterModel(bits, hashes, k, threshold, seed, num_kmers, prefix, parts)
+    target, size = model.in_parts, model.part_bits // 8
+
+    def write(table: pa.Table) -> pa.Table:
+        vector = np.zeros(-(-size // _BUCKET_BYTES) * _BUCKET_BYTES, dtype=np.uint8)
+        part = table.column("part")[0].as_py()
+        for bucket, piece in zip(table.column("bucket").to_pylist(), table.column("bits")):
+            if bucket is not None:
+                start = bucket * _BUCKET_BYTES
+                vector[start:start + _BUCKET_BYTES] = np.frombuffer(piece.as_buffer(), np.uint8)
+        files.write_bytes(target.path(part), vector[:size].tobytes())
+        return pa.table({"part": pa.array([part], pa.int32())})
+
+    spark = solid.sparkSession
+    every = spark.range(parts).select(  # a part without a k-mer is written as well
+        F.col("id").cast("int").alias("part"), F.lit(None).cast("bigint").alias("bucket"),
+        F.lit(None).cast("binary").alias("bits"))
+    written = filter_bits(solid, model).unionByName(every).groupBy("part").applyInArrow(
+        write, "part int").count()
+    if written != parts:
+        raise C.InputError(f"{written} of {parts} parts of the filter were written")
     model.save_figures()
     return model
 
 
 def ship_kmers(solid: DataFrame, k: int, num_kmers: int,
-               ship_limit: int = C.DEFAULT_SHIP_LIMIT) -> ShippedKmers | None:
+               ship_limit: int = C.PART_BYTES) -> ShippedKmers | None:
     """Ship the k-mers themselves; None if they are larger than `ship_limit`."""
     width = 8 if k <= C.PACKED_MAX_K else k
     if num_kmers * width > ship_limit:
@@ -166,6 +212,28 @@ def solid_membership(df: DataFrame, members, kmer: str = "kmer") -> DataFrame:
     return df.withColumn("solid", solid_flags(members, F.col(kmer)) == "1")
 
 
+def filter_membership(df: DataFrame, model: FilterModel, kmer: str = "kmer") -> DataFrame:
+    """The same by a filter of any size."""
+    if model.parts == 1:
+        return solid_membership(df, model.ship(df.sparkSession), kmer)
+    keyed = df.withColumn("_key", pack_kmer(F.col(kmer)) if model.k <= C.PACKED_MAX_K
+                          else F.col(kmer))
+    return tested_in_parts(keyed, model.in_parts, F.col(kmer)).drop("_key")
+
+
+def tested_in_parts(keyed: DataFrame, parts: FilterParts, spread_by: Column) -> DataFrame:
+    """Adds `solid` for canonical k-mers `_key`. Rows go where the task reads
+    the part they need; `spread_by` deals the rows of a part over many tasks."""
+
+    @arrow_udf("boolean")
+    def in_filter(col: pa.Array, part: pa.Array) -> pa.Array:
+        return pa.array(parts.contains(key_bytes(col, parts.k), np.asarray(part)))
+
+    moved = keyed.withColumn("_part", part_of(F.col("_key"), parts)).repartition(
+        "_part", F.pmod(F.xxhash64(spread_by), F.lit(_SPREAD))).sortWithinPartitions("_part")
+    return moved.withColumn("solid", in_filter(F.col("_key"), F.col("_part"))).drop("_part")
+
+
 def pack_column(df: DataFrame, k: int, kmer: str = "kmer") -> DataFrame:
     """k-mer strings to the type `kmer_rows` uses for this k."""
     if k > C.PACKED_MAX_K:

@@ -12,7 +12,8 @@ from readmend import config as C
 from readmend.functions import bases as B
 from readmend.functions.kmers import kmer_rows, kmer_text, window_kmers
 from readmend.operators import bloom, correct, quality, regions, spectrum
-from readmend.operators.repair import ShippedSearcher, trim_disputed
+from readmend.operators.repair import trim_disputed
+from readmend.plans.correction import exact_searcher, filter_searcher
 from readmend.sources import documents, reports
 from readmend.sources.scratch import scratch_dir
 
@@ -127,8 +128,8 @@ def _spectrum(spark, sf):
 
 
 def unique_solid(spark, sf):
-    hist = spectrum.kmer_histogram(counts(spark, sf))
-    return spectrum.unique_solid(hist, spectrum.find_threshold(hist))
+    table, threshold, _ = _spectrum(spark, sf)
+    return spectrum.unique_solid(spectrum.kmer_histogram(table), threshold)
 
 
 def solid(spark, sf) -> DataFrame:
@@ -162,8 +163,7 @@ def weak_anti_join(spark, sf):
 
 def _exact(spark, sf):
     table, threshold, n = _spectrum(spark, sf)
-    members = bloom.ship_kmers(spectrum.solid_kmers(table, threshold), K, n)
-    return ShippedSearcher(members)
+    return exact_searcher(spectrum.solid_kmers(table, threshold), K, n, table)
 
 
 def _filter(spark, sf):
@@ -186,14 +186,14 @@ def bloom_params(spark, sf):
 def bloom_membership_no_false_negative(spark, sf):
     kmers_in, model = _filter(spark, sf)
     text = kmers_in.select(kmer_text(F.col("kmer"), K).alias("kmer"))
-    tested = bloom.solid_membership(text, model.ship(spark))
+    tested = bloom.filter_membership(text, model)
     return tested.agg(F.count(F.lit(1)).alias("n_solid"), F.coalesce(
         F.sum(F.when(~F.col("solid"), 1)), F.lit(0)).cast("bigint").alias("n_missing"))
 
 
 def bloom_bit_count(spark, sf):
     kmers_in, model = _filter(spark, sf)
-    bits = bloom.filter_bits(kmers_in, K, model.width_bits, model.seeds)
+    bits = bloom.filter_bits(kmers_in, model)
     return bits.agg(F.count(F.lit(1)).alias("n_buckets"),
                     F.sum(F.bitmap_count("bits")).cast("bigint").alias("n_bits"))
 
@@ -202,8 +202,8 @@ def bloom_false_positives(spark, sf):
     """How many of the reads' other k-mers the filter takes for solid."""
     kmers_in, model = _filter(spark, sf)
     others = kmer_rows(reads(spark, sf), K).distinct().join(kmers_in, "kmer", "left_anti")
-    tested = bloom.solid_membership(
-        others.select(kmer_text(F.col("kmer"), K).alias("kmer")), model.ship(spark))
+    tested = bloom.filter_membership(
+        others.select(kmer_text(F.col("kmer"), K).alias("kmer")), model)
     return tested.agg(F.count(F.lit(1)).alias("n_probed"),
                       F.sum(F.col("solid").cast("int")).cast("bigint").alias("n_false"))
 
@@ -365,7 +365,7 @@ def correct_reads(spark, sf):
 
 def correct_reads_bloom(spark, sf):
     _, model = _filter(spark, sf)
-    return _corrected(spark, sf, ShippedSearcher(model.ship(spark))).select(
+    return _corrected(spark, sf, filter_searcher(spark, model)).select(
         "read_id", "seq", "qual", "n_edits", "trim5", "trim3")
 
 

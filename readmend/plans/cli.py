@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from readmend.config import ConfigError, InputError, RunConfig
+from readmend.config import PHRED_LIMITS, ConfigError, InputError, RunConfig
 from readmend.plans.correction import correct_read_list
 from readmend.sources.readlist import read_list
 
@@ -25,6 +25,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-seed", type=int, default=0)
     p.add_argument("-extend", type=int, default=5)
     p.add_argument("-load", help="prefix of a saved filter")
+    p.add_argument("-membership", choices=["filter", "exact"], default="filter",
+                   help="exact: test the solid k-mers themselves, no false positives")
+    p.add_argument("-phred_rule", choices=sorted(PHRED_LIMITS), help="default: by pairing")
+    p.add_argument("-compat", choices=["intended", "scalar"], default="intended")
     p.add_argument("-notrim", action="store_true")
     p.add_argument("-gzip", action="store_true", help="compress the corrected reads")
     p.add_argument("-single-end", dest="single", action="store_true")
@@ -57,7 +61,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         config = RunConfig(
             k=args.kmerlength, prefix=args.prefix, threshold=args.count, fpr=args.fpr,
             seed=args.seed, max_extension=args.extend, trim=not args.notrim,
-            paired=len(groups[0]) == 2, gzip=args.gzip)
+            paired=len(groups[0]) == 2, gzip=args.gzip, membership=args.membership,
+            phred_rule=args.phred_rule, compat=args.compat)
         spark = spark or SparkSession.builder.appName("readmend").getOrCreate()
         for report in correct_read_list(spark, groups, config, args.load):
             print("\n".join(report.lines() + [f"written: {o}" for o in report.outputs]))

@@ -44,7 +44,7 @@ class RunReport:
         if self.filter_bits:
             out += [f"filter: {self.filter_bits} bits, {self.num_hash} hash functions"]
         else:
-            out += ["filter: too large to ship; k-mers are joined"]
+            out += ["filter: none, exact membership"]
         out += [f"warning: {w}" for w in self.profile.warnings]
         return out + [f"{k}: {v}" for k, v in self.stats.items()]
 
@@ -57,8 +57,8 @@ def profile_reads(reads: DataFrame, config: C.RunConfig) -> tuple[C.QualityProfi
 
 def build_model(reads: DataFrame, config: C.RunConfig, prefix: str, write_report: bool = True
                 ) -> tuple[Searcher, bloom.FilterModel | None, int, int]:
-    """Count, choose the threshold, and make the solid k-mers searchable:
-    by a shipped filter, or by joins where the filter would be too large."""
+    """Count, choose the threshold, and make the solid k-mers searchable, by the
+    filter or exactly. Their number decides how a test finds them, not its answer."""
     counts = checkpointed(spectrum.kmer_counts(reads, config.k, config.threshold or C.MIN_COUNT))
     hist = checkpointed(spectrum.kmer_histogram(counts))
     threshold = config.threshold or spectrum.find_threshold(hist)
@@ -70,11 +70,23 @@ def build_model(reads: DataFrame, config: C.RunConfig, prefix: str, write_report
         low = min(config.threshold or C.MIN_COUNT, C.HISTOGRAM_TOP)
         reports.write_lines(reports.kmer_lines(hist, low), f"{prefix}.histo.k-mer")
     solid = spectrum.solid_kmers(counts, threshold)
+    if config.membership == "exact":
+        return exact_searcher(solid, config.k, n_solid, counts), None, threshold, n_solid
     model = bloom.build_filter(solid, config.k, n_solid, threshold, prefix, config.fpr,
-                               config.seed, config.ship_limit)
-    if model is None:
-        return JoinedSearcher.over(solid, config.k, counts), None, threshold, n_solid
-    return ShippedSearcher(model.ship(reads.sparkSession)), model, threshold, n_solid
+                               config.seed, config.part_bytes)
+    return filter_searcher(reads.sparkSession, model), model, threshold, n_solid
+
+
+def filter_searcher(spark: SparkSession, model: bloom.FilterModel) -> Searcher:
+    if model.parts > 1:
+        return JoinedSearcher.over_filter(model)
+    return ShippedSearcher(model.ship(spark))
+
+
+def exact_searcher(solid: DataFrame, k: int, n_solid: int,
+                   counts: DataFrame | None = None) -> Searcher:
+    members = bloom.ship_kmers(solid, k, n_solid)
+    return JoinedSearcher.over(solid, k, counts) if members is None else ShippedSearcher(members)
 
 
 def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
@@ -90,7 +102,7 @@ def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
     n_reads = quality.check_mates(both) if len(group) == 2 else both.count()
     if load is not None:
         model = bloom.FilterModel.load(load, config.k)
-        searcher: Searcher = ShippedSearcher(model.ship(spark))
+        searcher = filter_searcher(spark, model)
         threshold, n_solid = model.threshold, model.num_kmers
     else:
         searcher, model, threshold, n_solid = build_model(both, config, prefix)
@@ -103,15 +115,16 @@ def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
                                  config.trim, config.compat)
         mark = f".{number}" if len(group) == 2 else ""
         out = f"{prefix}{mark}.corrected.fastq"
-        stats = _write_with_stats(done, out, config.gzip)
+        stats = _write_with_stats(done, out, config.gzip, isinstance(searcher, JoinedSearcher))
         totals = {k: totals.get(k, 0) + v for k, v in stats.items()}
         report.outputs.append(out)
     report.stats = totals
     return report
 
 
-def _write_with_stats(done: DataFrame, path: str, gzip: bool) -> dict[str, int]:
-    """Write and sum in one pass over the reads."""
+def _write_with_stats(done: DataFrame, path: str, gzip: bool, sort: bool) -> dict[str, int]:
+    """Write and sum in one pass over the reads; `sort` where a shuffle has lost
+    their order."""
     from pyspark.sql import Observation
 
     seen = Observation()
@@ -127,15 +140,21 @@ def _write_with_stats(done: DataFrame, path: str, gzip: bool) -> dict[str, int]:
         total(F.when(accepted & ((F.col("n_edits") > 0) | (trimmed > 0)), 1))
         .alias("corrected_reads"),
         total(trimmed).alias("trimmed_bases"))
-    write_fastq(observed, path, gzip)
+    if sort:  # the range shuffle samples the reads first: sum what it reads
+        observed = checkpointed(observed)
+    write_fastq(observed, path, gzip, sort)
     return dict(seen.get)
 
 
 def correct_read_list(spark: SparkSession, groups: list[list[str]], config: C.RunConfig,
                       load: str | None = None) -> list[RunReport]:
     """Every group of a read list, each with a prefix of its own."""
-    return [correct_group(spark, g, replace(config, prefix=group_prefix(config.prefix, g)), load)
-            for g in groups]
+    prefixes = [group_prefix(config.prefix, g) for g in groups]
+    twice = sorted({p for p in prefixes if prefixes.count(p) > 1})
+    if twice:
+        raise C.ConfigError(f"groups would write over each other's results: {', '.join(twice)}")
+    return [correct_group(spark, g, replace(config, prefix=p), load)
+            for g, p in zip(groups, prefixes)]
 
 
 def solid_table(reads: DataFrame, config: C.RunConfig) -> DataFrame:

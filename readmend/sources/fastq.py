@@ -136,18 +136,25 @@ class FastqReader(DataSourceReader):
             if not synced:
                 first = _first_record(buf, starts)
                 if first is None:
-                    if last or len(starts) > 16:
-                        return               # the range lies inside one record
+                    # up to three lines may end a record that began before
+                    lines = int(np.count_nonzero(ends > starts))
+                    if last and lines > 3 or lines > 16:
+                        raise InputError(f"{part.path} has no record after byte {base}")
+                    if last:
+                        return
                     continue
                 synced = True
-            whole = (len(starts) - first) // 4 * 4
+            heads = np.append(starts[first:], len(held))
+            mine = whole = (len(starts) - first) // 4 * 4
             starts, ends = starts[first:first + whole], ends[first:first + whole]
             if part.end >= 0:
                 mine = 4 * int(np.searchsorted(starts[::4] + base, part.end))
                 last = last or mine < whole
                 starts, ends = starts[:mine], ends[:mine]
-            if last and part.end < 0 and ends.size and held[ends[-1] + 1:].strip():
-                raise InputError(f"{part.path} ends inside a record")
+            if last and mine == whole:
+                tail = held[(int(ends[-1]) + 1 if ends.size else int(heads[0])):]
+                if tail.strip():
+                    raise InputError(f"{part.path} ends inside a record")
             if len(starts):
                 yield _records(buf, starts, ends, base, part.file_id)
                 cut = int(ends[-1]) + 1
@@ -181,10 +188,11 @@ def read_fastq(spark: SparkSession, paths: str | list[str],
 
 def write_fastq(reads: DataFrame, path: str, gzip: bool = False, sort: bool = False) -> None:
     """A folder of FASTQ parts whose names give the order. Reads that do not
-    come from `read_fastq` need `sort`, a range shuffle on read_idx."""
+    come from `read_fastq`, or were shuffled, need `sort`, a range shuffle on
+    file_id and read_idx."""
     named = reads.withColumn("name", F.concat(F.lit("@"), F.col("name")))
     if sort:
-        named = named.orderBy("read_idx")
+        named = named.orderBy(*[c for c in ("file_id", "read_idx") if c in named.columns])
     lines = named.select(fastq_record().alias("value"))
     writer = lines.write.mode("overwrite")
     if gzip:

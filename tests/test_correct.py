@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from conftest import complement
 from plain_corrector import correct_all
@@ -88,10 +89,31 @@ def test_filter_never_misses_and_seldom_errs(spark, simulated, tmp_path):
         bloom.FilterModel.load(f"{tmp_path}/m", 31)
 
 
-def test_no_filter_beyond_the_limit(spark, simulated, tmp_path):
+def test_no_size_is_too_large(spark, simulated, tmp_path):
+    """A filter in parts answers alike near the data and shipped, wherever it is cut."""
     _, _, solid, texts = prepared(spark, simulated, 21, 5)
-    assert bloom.build_filter(solid, 21, len(texts), 5, f"{tmp_path}/m", ship_limit=100) is None
     assert bloom.ship_kmers(solid, 21, len(texts), ship_limit=100) is None
+    model = bloom.build_filter(solid, 21, len(texts), 5, f"{tmp_path}/m", 0.05, part_bytes=400)
+    assert model.parts > 5
+    again = bloom.FilterModel.load(f"{tmp_path}/m", 21)
+    assert again == model
+    rows = spark.createDataFrame([(t,) for t in sorted(texts)], "kmer string").unionByName(
+        spark.createDataFrame([(min(t[::-1], complement(t[::-1])),) for t in sorted(texts)], "kmer string"))
+    got = {r["kmer"]: r["solid"] for r in bloom.filter_membership(rows, again).collect()}
+    parts, keys = again.in_parts, np.array([list(t.encode()) for t in got], np.uint8)
+    assert list(got.values()) == parts.contains(keys, parts.part_of(keys)).tolist()
+    assert all(got[t] for t in texts) and sum(got.values()) < len(texts) * 1.15
+    with pytest.raises(C.ConfigError):
+        again.ship(spark)
+
+
+def test_filter_of_one_part_near_the_data_equals_shipped(spark, simulated, tmp_path):
+    reads, profile, solid, texts = prepared(spark, simulated[:250], 21, 3)
+    some = reads.where(F.col("read_id") < 120)
+    model = bloom.build_filter(solid, 21, len(texts), 3, f"{tmp_path}/m", 0.2)
+    shipped = as_dict(correct.corrected(some, ShippedSearcher(model.ship(spark)), 21, profile))
+    moved = as_dict(correct.corrected(some, JoinedSearcher.over_filter(model), 21, profile))
+    assert moved == shipped
 
 
 def test_correction_with_shipped_kmers_does_not_shuffle(spark, simulated):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from readmend import config as C
 from readmend.operators import correct, quality, spectrum
 from readmend.plans import cli
+from readmend.plans.correction import correct_group, correct_read_list
 from readmend.sources.fastq import read_fastq, write_fastq
 from readmend.sources.readlist import group_prefix, read_list
 
@@ -57,6 +58,60 @@ def test_empty_and_broken_files(spark, tmp_path):
         read_fastq(spark, str(tmp_path / "bad.fastq")).count()
 
 
+@pytest.mark.parametrize("lines", [1, 2, 3])
+@pytest.mark.parametrize("size", [5, 40, 10000])
+def test_a_cut_off_record_is_an_error(spark, tmp_path, lines, size):
+    whole = text_of(TRICKY).split("\n")
+    path = tmp_path / "cut.fastq"
+    path.write_text("\n".join(whole[:len(whole) - lines]) + "\n")
+    with pytest.raises(Exception, match="ends inside a record|no record"):
+        read_fastq(spark, str(path), size).count()
+
+
+def test_lines_without_a_record_are_an_error(spark, tmp_path):
+    path = tmp_path / "no.fastq"
+    path.write_text(text_of(TRICKY) + "\n" + "ACGT\n" * 60)
+    with pytest.raises(Exception, match="no record|does not begin"):
+        read_fastq(spark, str(path), 40).count()
+
+
+def test_groups_of_one_name_are_refused(spark):
+    with pytest.raises(C.ConfigError, match="write over"):
+        correct_read_list(spark, [["a/x.fastq"], ["b/x.fastq"]], C.RunConfig(k=21))
+
+
+def test_quality_characters_out_of_range(spark):
+    def profile_of(*codes):
+        return quality.profile(spark.createDataFrame(
+            [(c, 100) for c in codes], "code int, n bigint"))
+
+    with pytest.raises(C.InputError, match="beyond"):
+        profile_of(70, 100, 127)
+    assert any("above" in w for w in profile_of(35, 60, 77).warnings)
+
+
+def test_a_filter_in_parts_keeps_order_mates_and_files(spark, simulated, tmp_path):
+    """The route without a shipped filter writes what it should, in order."""
+    files = []
+    for mate in (0, 1):
+        path = tmp_path / f"x_{mate + 1}.fastq"
+        path.write_text(text_of(
+            [(f"r{i // 2}/{mate + 1}", s, "+", q) for i, s, q, _ in simulated[mate:160:2]]) + "\n")
+        files.append(str(path))
+    texts = {}
+    for name, extra in {"one": {}, "parts": {"part_bytes": 4096}, "exact": {"membership": "exact"}}.items():
+        config = C.RunConfig(k=21, prefix=f"{tmp_path}/{name}", threshold=2, **extra)
+        report = correct_group(spark, files, config, range_bytes=3000)
+        texts[name] = [folder_text(o) for o in report.outputs]
+        assert os.path.exists(f"{tmp_path}/{name}.bf.size") == (name != "exact")
+    assert texts["parts"] == texts["one"] == texts["exact"]
+    for number, text in enumerate(texts["parts"], 1):
+        assert text.splitlines()[::4] == [f"@r{i}/{number}" for i in range(80)]
+    config = C.RunConfig(k=21, prefix=f"{tmp_path}/again")
+    loaded = correct_group(spark, files, config, load=f"{tmp_path}/parts", range_bytes=3000)
+    assert [folder_text(o) for o in loaded.outputs] == texts["parts"]
+
+
 def test_read_lists(tmp_path):
     path = tmp_path / "l"
     path.write_text("d/x_1.fastq\nd/x_2.fastq\n")
