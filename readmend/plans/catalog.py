@@ -191,6 +191,14 @@ def bloom_membership_no_false_negative(spark, sf):
         F.sum(F.when(~F.col("solid"), 1)), F.lit(0)).cast("bigint").alias("n_missing"))
 
 
+def filter_bit_positions(spark, sf):
+    """The bits of every solid k-mer, in order of the hash functions."""
+    kmers_in, model = _filter(spark, sf)
+    positions = bloom.bit_positions(F.col("kmer"), K, model.part_bits, model.seeds)
+    return kmers_in.select(kmer_text(F.col("kmer"), K).alias("kmer"),
+                           F.array_join(positions.cast("array<string>"), ",").alias("positions"))
+
+
 def bloom_bit_count(spark, sf):
     kmers_in, model = _filter(spark, sf)
     bits = bloom.filter_bits(kmers_in, model)
@@ -385,7 +393,7 @@ QUERIES = {f.__name__: f for f in (
     normalize_reads, read_gate, trim_limits,
     kmers, canonical_kmers, long_kmer_counts, kmer_counts, kmer_histogram, kmer_threshold,
     histogram_report_kmer, unique_solid, solid_kmers, solid_semi_join, weak_anti_join,
-    bloom_params, bloom_membership_no_false_negative, bloom_bit_count, bloom_false_positives,
+    bloom_params, filter_bit_positions, bloom_membership_no_false_negative, bloom_bit_count, bloom_false_positives,
     solid_flags, fully_solid_reads, solid_islands, short_islands_dropped, near_islands_merged,
     adjusted_regions, single_substitution_candidates, path_set_ops, disputed_trims,
     trim_reconcile, right_walks, outside_extension,

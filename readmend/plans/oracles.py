@@ -163,6 +163,51 @@ ext(read_id, t, tail) as (
     select read_id, t + 1, substr(tail || b, 2) from ext, base, solid s
     where t < 5 and s.kmer = least(tail || b, reverse(translate(tail || b, 'ACGT', 'TGCA'))))"""
 
+# fixed values: the first numbers of the C library's rand() after srand(1), the seeds of
+# the filter's hash functions
+_RAND = (1804289383, 846930886, 1681692777, 1714636915, 1957747793, 424238335, 719885386,
+         1649760492, 596516649, 1189641421, 1025202362, 1350490027, 783368690, 1102520059,
+         2044897763, 1967513926)
+
+_WIDTH = """
+cand as (select n_solid, j, -j * n_solid / ln(1.0 - pow(0.001, 1.0 / j)) w
+         from nsolid, (select unnest(generate_series(1, 999)) j)),
+best as (select min(w) bw, arg_min(j, w) bj from cand),
+fp as (select num_kmers, width_bits, width_bits // 8 width_bytes, num_hash from (
+        select n_solid num_kmers, (w2 + 7) // 8 * 8 width_bits, cast(j + j % 2 as int) num_hash
+        from (select n_solid, j, 2 * cast(floor(w) as bigint) w2 from cand, best
+              where j < bj and w < bw * 1.2 or j = bj order by j limit 1)))"""
+
+
+def _murmur(table: str, out: str) -> str:
+    """CTEs: (kmer, seed number, position) of the k-mers of `table`, by the published 32-bit
+    hash in 64-bit arithmetic."""
+    m = "4294967295::ubigint"
+
+    def rotl(x: str, r: int) -> str:
+        return f"((({x} * {1 << r}) & {m}) | ({x} // {1 << (32 - r)}))"
+
+    def word(at: int, n: int) -> str:
+        return " + ".join(f"ascii(substr(kmer, {at + i + 1}, 1))::ubigint * {256 ** i}" for i in range(n))
+
+    steps = [f"{out}0 as (select kmer, no, seed::ubigint h from {table}, fp, (values "
+             + ", ".join(f"({i}, {v})" for i, v in enumerate(_RAND)) + ") x(no, seed) where no < num_hash)"]
+    blocks = [(4 * i, 4) for i in range(K // 4)] + ([(K - K % 4, K % 4)] if K % 4 else [])
+    for i, (at, n) in enumerate(blocks):
+        mixed = (f"(select *, ({rotl('a', 15)} * 461845907) & {m} c from (select *, "
+                 f"(({word(at, n)}) * 3432918353) & {m} a from {out}{i}))")
+        if n == 4:
+            steps.append(f"{out}{i + 1} as (select kmer, no, ({rotl('b', 13)} * 5 + 3864292196) & {m} h "
+                         f"from (select kmer, no, xor(h, c) b from {mixed}))")
+        else:
+            steps.append(f"{out}{i + 1} as (select kmer, no, xor(h, c) h from {mixed})")
+    last = f"(select kmer, no, xor(h, {K}::ubigint) h from {out}{len(blocks)})"
+    for shift, factor in ((65536, 2246822507), (8192, 3266489909)):
+        last = f"(select kmer, no, (xor(h, h // {shift}) * {factor}) & {m} h from {last})"
+    return ",\n".join(steps) + (
+        f",\n{out} as (select kmer, no, cast(xor(h, h // 65536) as bigint) % width_bits p from {last}, fp)")
+
+
 ORACLES: dict[str, str] = {
     "read_pairs": _q("select * from pairs"),
     "reads_from_documents": _q("select read_id, pair_id, mate, seq, qual from reads"),
@@ -211,15 +256,20 @@ ORACLES: dict[str, str] = {
     "weak_anti_join": _q(
         "select read_id, count(*) n_weak, cast(min(pos) as int) first_weak "
         "from rk anti join solid using (kmer) group by 1", _SPECTRUM, _NORM, _KMERS_OF),
-    "bloom_params": _q(
-        """select num_kmers, width_bits, width_bits // 8 width_bytes, num_hash from (
-        select n_solid num_kmers, (w2 + 7) // 8 * 8 width_bits, cast(j + j % 2 as int) num_hash
-        from (select n_solid, j, 2 * cast(floor(w) as bigint) w2 from cand, best
-              where j < bj and w < bw * 1.2 or j = bj order by j limit 1))""",
-        _SPECTRUM, """
-cand as (select n_solid, j, -j * n_solid / ln(1.0 - pow(0.001, 1.0 / j)) w
-         from nsolid, (select unnest(generate_series(1, 999)) j)),
-best as (select min(w) bw, arg_min(j, w) bj from cand)"""),
+    "bloom_params": _q("select * from fp", _SPECTRUM, _WIDTH),
+    "filter_bit_positions": _q(
+        "select kmer, string_agg(cast(p as varchar), ',' order by no) positions from fb group by 1",
+        _SPECTRUM, _WIDTH, _murmur("solid", "fb")),
+    "bloom_bit_count": _q(
+        "select count(distinct p // 32768) n_buckets, count(distinct p) n_bits from fb",
+        _SPECTRUM, _WIDTH, _murmur("solid", "fb")),
+    "bloom_false_positives": _q(
+        """select count(*) n_probed, cast(sum(cast(n_set = num_hash as int)) as bigint) n_false
+        from (select kmer, count(b.p) n_set from ob left join (select distinct p from fb) b using (p)
+              group by 1), fp""",
+        _SPECTRUM, _WIDTH, _murmur("solid", "fb"),
+        "others as (select distinct kmer from occ anti join solid using (kmer))",
+        _murmur("others", "ob")),
     "bloom_membership_no_false_negative": _q(
         "select n_solid, cast(0 as bigint) n_missing from nsolid", _SPECTRUM),
     "solid_flags": _q(
