@@ -349,8 +349,7 @@ def with_decisions(df: DataFrame, k: int) -> DataFrame:
     lost5 = "case " + " ".join(
         f"when {v} <= max_trim then {v if side == 5 else 'null'}" for side, v in fits) + " end"
     lost = "y.n = 0 and y.x.kind = 'gap'"
-    common = ("aggregate(slice(y.x.lists, 2, size(y.x.lists)), get(y.x.lists, 0), "
-              "(c, l) -> array_intersect(c, l))")
+    common = common_edits("y.x.lists")
     decision = (
         "named_struct('kind', y.x.kind, 'i', y.x.i, "
         f"'act', case when y.x.as_is or y.n = 0 then 0 when y.n = 1 then 1 "
@@ -361,17 +360,30 @@ def with_decisions(df: DataFrame, k: int) -> DataFrame:
         f"when y.crowded is not null then {crowd3} end as int), "
         f"'edits', if(y.n = 1 and y.crowded is not null, {partial}, y.best), "
         f"'common', if(y.n > 1, {common}, {_NO_EDITS}), "
-        "'disputed', if(y.n > 1, array_distinct(flatten(transform(y.x.lists, "
-        "l -> transform(l, e -> e.pos)))), cast(array() as array<int>)))"
+        f"'disputed', if(y.n > 1, {touched_positions('y.x.lists')}, cast(array() as array<int>)))"
     )
     df = df.withColumn("decisions", F.expr(f"transform(_scored, y -> {decision})"))
     return df.withColumn("decisions", F.expr(
         "transform(decisions, d -> named_struct('kind', d.kind, 'i', d.i, 'act', d.act, "
         "'t5', d.t5, 't3', d.t3, 'edits', d.edits, 'common', d.common, "
-        "'disputed', array_sort(array_except(d.disputed, transform(d.common, e -> e.pos)))))"
+        f"'disputed', {disputed_positions('d.disputed', 'd.common')}))"
     )).drop("_all", "_scored", "found")
 
 
+def common_edits(lists: str) -> str:
+    """What all lists of edits share."""
+    return (f"aggregate(slice({lists}, 2, size({lists})), get({lists}, 0), "
+            "(c, l) -> array_intersect(c, l))")
+
+
+def touched_positions(lists: str) -> str:
+    return f"array_distinct(flatten(transform({lists}, l -> transform(l, e -> e.pos))))"
+
+
+def disputed_positions(touched: str, common: str) -> str:
+    return f"array_sort(array_except({touched}, transform({common}, e -> e.pos)))"
+
+
 # --- carrying out --------------------------------------------------------------------
 
 def trim_disputed(t5: str, t3: str, disputed: str, always: str) -> str:

@@ -12,7 +12,8 @@ from readmend import config as C
 from readmend.functions import bases as B
 from readmend.functions.kmers import kmer_rows, kmer_text, window_kmers
 from readmend.operators import bloom, correct, quality, regions, spectrum
-from readmend.operators.repair import trim_disputed
+from readmend.operators.repair import (
+    common_edits, disputed_positions, touched_positions, trim_disputed, with_first_kmer_candidates)
 from readmend.plans.correction import exact_searcher, filter_searcher
 from readmend.sources import documents, reports
 from readmend.sources.scratch import scratch_dir
@@ -264,27 +265,15 @@ def adjusted_regions(spark, sf):
 # --- repair ----------------------------------------------------------------------
 
 def single_substitution_candidates(spark, sf):
-    """Changes of one base that make a weak first k-mer solid."""
+    """Changes of one base that make a weak first k-mer solid. Without spots the only
+    combination is the k-mer itself, which decides where it is solid."""
     gated = correct.normalized(reads(spark, sf), K).where("gate").select(
-        "read_id", F.substring("seq", 1, K).alias("first_kmer"))
-    changed = (
-        gated.select("read_id", "first_kmer", F.explode(F.expr(f"sequence(0, {K - 1})")).alias("pos"))
-        .select("*", F.explode(F.array(*[F.lit(b) for b in C.BASES])).alias("base"))
-        .where(F.expr("substring(first_kmer, pos + 1, 1) <> base"))
-        .select("read_id", "pos", "base", "first_kmer",
-                F.expr("overlay(first_kmer placing base from pos + 1)").alias("changed"))
-    )
-
-    def canonical(c):
-        return F.least(F.col(c), B.reverse_complement(F.col(c)))
-
-    table = bloom.pack_column(changed.select(
-        "read_id", "pos", "base", canonical("first_kmer").alias("own"),
-        canonical("changed").alias("kmer")), K)
-    table = bloom.pack_column(table, K, "own")
-    known = solid(spark, sf)
-    weak_first = table.join(known.withColumnRenamed("kmer", "own"), "own", "left_anti")
-    return weak_first.join(known, "kmer", "left_semi").select("read_id", "pos", "base")
+        "read_id", F.expr(f"named_struct('kmer', substring(seq, 1, {K}), "
+                          "'spots', cast(array() as array<int>))").alias("first_kmer"),
+        F.lit(1).alias("_n_low"))
+    found = with_first_kmer_candidates(gated, _exact(spark, sf), K)
+    return found.select("read_id", F.explode("candidates").alias("edits")).select(
+        "read_id", F.explode("edits").alias("e")).select("read_id", "e.pos", "e.base")
 
 
 def path_set_ops(spark, sf):
@@ -300,14 +289,12 @@ def path_set_ops(spark, sf):
                 f"i -> named_struct('pos', i - 1, 'base', substring({to}, i, 1)))")
 
     lists = p.select("pair_id", F.expr(edits("x")).alias("a"), F.expr(edits("y")).alias("b"))
-    sets = lists.select(
-        "pair_id", F.array_intersect("a", "b").alias("common"),
-        F.array_distinct(F.expr(
-            "concat(transform(a, e -> e.pos), transform(b, e -> e.pos))")).alias("touched"))
+    sets = lists.select("pair_id", F.array("a", "b").alias("lists")).select(
+        "pair_id", F.expr(common_edits("lists")).alias("common"),
+        F.expr(touched_positions("lists")).alias("touched"))
     return sets.select(
         "pair_id", F.size("common").alias("n_common"), F.size("touched").alias("n_union"),
-        F.expr("array_join(array_sort(array_except(touched, transform(common, e -> e.pos))), ',')")
-        .alias("disputed"))
+        F.expr(f"array_join({disputed_positions('touched', 'common')}, ',')").alias("disputed"))
 
 
 def disputed_trims(spark, sf):
@@ -341,11 +328,15 @@ def _island_ends(spark, sf):
 
 
 def right_walks(spark, sf):
-    """Every walk from the first run to the end of its read, k-mers all solid."""
+    """Every walk from the first run to the end of its read, k-mers all solid; one row
+    with `given_up` where a read has too many."""
     found = _exact(spark, sf).test(
         _island_ends(spark, sf), {"walks": ("walks", "search")})
-    return found.select("read_id", F.explode("walks").alias("w")).select(
-        "read_id", F.explode("w").alias("walk"))
+    each = found.select("read_id", F.explode("walks").alias("w"))
+    given_up = F.col("w").isNull()
+    walks = F.when(given_up, F.array(F.lit(None).cast("string"))).otherwise(F.col("w"))
+    return each.select("read_id", F.explode(walks).alias("walk"),
+                       given_up.cast("int").alias("given_up"))
 
 
 def outside_extension(spark, sf):

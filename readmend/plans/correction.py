@@ -49,10 +49,23 @@ class RunReport:
         return out + [f"{k}: {v}" for k, v in self.stats.items()]
 
 
-def profile_reads(reads: DataFrame, config: C.RunConfig) -> tuple[C.QualityProfile, DataFrame]:
-    """The score cutoffs, and the histogram cut off from the reads."""
-    hist = checkpointed(quality.quality_histogram(reads))
-    return quality.profile(hist, config.rule), hist
+def profile_reads(reads: DataFrame, config: C.RunConfig
+                  ) -> tuple[C.QualityProfile, DataFrame, dict[int, int]]:
+    """The score cutoffs, the histogram, and the number of reads of each mate; one pass."""
+    tallied = checkpointed(quality.tally(reads))
+    counts = {r["mate"]: r["n"] for r in tallied.where("code = -1").collect()}
+    hist = quality.histogram_of(tallied)
+    return quality.profile(hist, config.rule), hist, counts
+
+
+def spread(reads: DataFrame, paths: list[str]) -> DataFrame:
+    """A gzip file is read by one task; its reads are dealt over all tasks. They are put
+    in order again when they are written."""
+    if not any(p.endswith(".gz") for p in paths):
+        return reads
+    n = max(reads.sparkSession.sparkContext.defaultParallelism,
+            int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return reads.repartition(n, "file_id", "read_idx")
 
 
 def build_model(reads: DataFrame, config: C.RunConfig, prefix: str, write_report: bool = True
@@ -97,25 +110,26 @@ def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
         raise C.ConfigError("a count threshold cannot be given with a loaded filter")
     prefix = config.prefix
     both = read_fastq(spark, group, range_bytes).withColumn("mate", F.col("file_id") + 1)
-    profile, hist = profile_reads(both, config)
+    profile, hist, counts = profile_reads(both, config)
     reports.write_lines(reports.quality_lines(hist, profile.offset), f"{prefix}.histo.qs")
-    n_reads = quality.check_mates(both) if len(group) == 2 else both.count()
+    n_reads = quality.equal_mates(counts) if len(group) == 2 else counts.get(1, 0)
     if load is not None:
         model = bloom.FilterModel.load(load, config.k)
         searcher = filter_searcher(spark, model)
         threshold, n_solid = model.threshold, model.num_kmers
     else:
-        searcher, model, threshold, n_solid = build_model(both, config, prefix)
+        searcher, model, threshold, n_solid = build_model(spread(both, group), config, prefix)
     report = RunReport(profile, n_reads, threshold, n_solid,
                        model and model.width_bits, model and model.num_hash)
     totals: dict[str, int] = {}
     for number, path in enumerate(group, 1):
-        reads = read_fastq(spark, path, range_bytes)
+        reads = spread(read_fastq(spark, path, range_bytes), [path])
         done = correct.corrected(reads, searcher, config.k, profile, config.max_extension,
                                  config.trim, config.compat)
         mark = f".{number}" if len(group) == 2 else ""
         out = f"{prefix}{mark}.corrected.fastq"
-        stats = _write_with_stats(done, out, config.gzip, isinstance(searcher, JoinedSearcher))
+        stats = _write_with_stats(done, out, config.gzip,
+                                  path.endswith(".gz") or isinstance(searcher, JoinedSearcher))
         totals = {k: totals.get(k, 0) + v for k, v in stats.items()}
         report.outputs.append(out)
     report.stats = totals

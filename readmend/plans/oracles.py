@@ -310,8 +310,10 @@ ORACLES: dict[str, str] = {
               any_value(max_trim) m from isl join gated using (read_id) group by 1)""",
         _SPECTRUM, _NORM, _FLAGS),
     "right_walks": _q(
-        "select read_id, path walk from walk join (select read_id from walk where p + t = len "
-        "group by 1 having count(*) <= 74) using (read_id) where p + t = len",
+        "select read_id, case when n <= 74 then path end walk, cast(n > 74 as int) given_up from ("
+        "select read_id, path, count(*) over (partition by read_id) n, "
+        "row_number() over (partition by read_id) r from walk where p + t = len) "
+        "where n <= 74 or r = 1",
         _SPECTRUM, _NORM, _FLAGS, _WALK, recursive=True),
     "outside_extension": _q(
         "select g.read_id, cast(max(case when t = 5 then 1 else 0 end) as int) extends "

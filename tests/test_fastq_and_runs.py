@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from readmend import config as C
 from readmend.operators import correct, quality, spectrum
 from readmend.plans import cli
-from readmend.plans.correction import correct_group, correct_read_list
+from readmend.plans.correction import correct_group, correct_read_list, spread
 from readmend.sources.fastq import read_fastq, write_fastq
 from readmend.sources.readlist import group_prefix, read_list
 
@@ -112,6 +112,28 @@ def test_a_filter_in_parts_keeps_order_mates_and_files(spark, simulated, tmp_pat
     assert [folder_text(o) for o in loaded.outputs] == texts["parts"]
 
 
+def test_gzip_input_is_spread_and_written_in_order(spark, simulated, tmp_path):
+    text = text_of([(f"r{i}", s, "+", q) for i, s, q, _ in simulated[:300]]) + "\n"
+    (tmp_path / "x.fastq").write_text(text)
+    (tmp_path / "x.fastq.gz").write_bytes(gzip.compress(text.encode()))
+    out = []
+    for name in ("x.fastq", "x.fastq.gz"):
+        config = C.RunConfig(k=21, prefix=f"{tmp_path}/o{len(out)}", threshold=2, paired=False)
+        report = correct_group(spark, [f"{tmp_path}/{name}"], config)
+        assert report.n_reads == 300
+        out.append(folder_text(report.outputs[0]))
+    assert out[0] == out[1] and out[0].splitlines()[::4] == [f"@r{i}" for i in range(300)]
+    scan = spread(read_fastq(spark, f"{tmp_path}/x.fastq.gz"), ["x.fastq.gz"])
+    assert scan.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_tally_counts_characters_and_reads(spark):
+    df = spark.createDataFrame([(1, "IIJ"), (2, "J"), (2, None), (1, ""), (2, "!é")], "mate int, qual string")
+    assert sorted(map(tuple, quality.tally(df).collect())) == [
+        (1, -1, 2), (1, 73, 2), (1, 74, 1), (2, -1, 3), (2, 33, 1), (2, 74, 1), (2, 169, 1), (2, 195, 1)]
+    assert quality.quality_histogram(df.limit(0)).count() == 0
+
+
 def test_read_lists(tmp_path):
     path = tmp_path / "l"
     path.write_text("d/x_1.fastq\nd/x_2.fastq\n")
