@@ -12,7 +12,7 @@ from readmend.functions.kmers import kmer_text
 from readmend.operators import bloom, correct, quality, spectrum
 from readmend.operators.joined import JoinedSearcher
 from readmend.operators.repair import Searcher, ShippedSearcher
-from readmend.sources import reports
+from readmend.sources import files, reports
 from readmend.sources.fastq import DEFAULT_RANGE, read_fastq, write_fastq
 from readmend.sources.package import send_package
 from readmend.sources.readlist import group_prefix
@@ -108,7 +108,9 @@ def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
     send_package(spark)
     if load is not None and config.threshold is not None:
         raise C.ConfigError("a count threshold cannot be given with a loaded filter")
-    prefix = config.prefix
+    group = [files.qualified(spark, p) for p in group]
+    prefix = files.qualified(spark, config.prefix)
+    load = load and files.qualified(spark, load)
     both = read_fastq(spark, group, range_bytes).withColumn("mate", F.col("file_id") + 1)
     profile, hist, counts = profile_reads(both, config)
     reports.write_lines(reports.quality_lines(hist, profile.offset), f"{prefix}.histo.qs")

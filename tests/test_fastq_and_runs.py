@@ -127,6 +127,19 @@ def test_gzip_input_is_spread_and_written_in_order(spark, simulated, tmp_path):
     assert scan.select(F.spark_partition_id()).distinct().count() > 4
 
 
+def test_paths_with_and_without_a_scheme(spark, simulated, tmp_path):
+    (tmp_path / "x.fastq").write_text(text_of([(f"r{i}", s, "+", q) for i, s, q, _ in simulated[:60]]) + "\n")
+    out = []
+    for path, prefix in ((f"file://{tmp_path}/x.fastq", f"file://{tmp_path}/a"), (f"file:{tmp_path}/x.fastq", f"{tmp_path}/b"),
+                         (f"{tmp_path}/x.fastq", f"file:{tmp_path}/c")):
+        config = C.RunConfig(k=21, prefix=prefix, threshold=2, paired=False)
+        correct_group(spark, [path], config)
+    for name in "abc":
+        out.append(folder_text(f"{tmp_path}/{name}.corrected.fastq"))
+        assert (tmp_path / f"{name}.histo.qs").exists() and (tmp_path / f"{name}.bf.data").exists()
+    assert out[0] == out[1] == out[2]
+
+
 def test_tally_counts_characters_and_reads(spark):
     df = spark.createDataFrame([(1, "IIJ"), (2, "J"), (2, None), (1, ""), (2, "!é")], "mate int, qual string")
     assert sorted(map(tuple, quality.tally(df).collect())) == [
