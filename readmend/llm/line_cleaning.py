@@ -41,40 +41,47 @@ MAX_LOST_PCT = 40
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, kept boolean, n_lines long, n_bad_lines long, lost_words long, "
           "clean_text string")
-_NO_BASE_SYMBOLS = str.maketrans("", "", BASE_SYMBOLS)
-_NO_SYMBOLS = str.maketrans("", "", SYMBOLS)
-_NO_SPACE = str.maketrans("", "", SPACE)
-_TERMINAL = re.compile(f"[{TERMINAL}]")
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
-_UPPER, _LOWER = re.compile("[A-Z]"), re.compile("[a-z]")
+# sets of bytes to count by deleting them; code points are counted by their first byte
+_SPACE, _LATER = SPACE.encode(), bytes(range(0x80, 0xC0))
+_BASE, _SYMBOLS = BASE_SYMBOLS.encode(), SYMBOLS.encode()
+_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+_TERMINAL = re.compile("|".join(re.escape(c) for c in TERMINAL).encode())
+_BOILERPLATE = [b.encode() for b in BOILERPLATE]
 _SEPARATORS = frozenset(s.encode() for s in SEPARATORS)
 
 
-def line_failures(line: str) -> list[str]:
-    """The rules that a line with at least one word fails, but for repetition of lines."""
-    words = line.encode().split()
+def _count(data: bytes, which: bytes) -> int:
+    return len(data) - len(data.translate(None, which))
+
+
+def _solid(data: bytes) -> int:
+    """Code points that are no white space."""
+    return len(data.translate(None, _SPACE + _LATER))
+
+
+def line_failures(line: bytes, words: list[bytes], phrases: list[bytes]) -> list[str]:
+    """The rules that a line with at least one word fails, but for repetition of lines.
+    `phrases`: the boilerplate that its text holds anywhere."""
     n, failed = len(words), []
-    solid = len(line.translate(_NO_SPACE))
-    if 100 * (len(line) - len(line.translate(_NO_SYMBOLS))) >= SYMBOL_PCT * solid:
+    symbols = _count(line, _SYMBOLS)
+    if symbols and 100 * symbols >= SYMBOL_PCT * _solid(line):
         failed.append("symbols")
-    separators = sum(w in _SEPARATORS for w in words)
+    separators = sum(map(_SEPARATORS.__contains__, words))
     if separators >= 2 and 4 * separators >= n:
         failed.append("navigation")
-    if n >= 3 and len(_UPPER.findall(line)) > len(_LOWER.findall(line)):
+    if n >= 3 and _count(line, _UPPER) > _count(line, _LOWER):
         failed.append("shouting")
     if n >= 4 and 2 * sum(map(bytes.__eq__, words, words[1:])) >= n:
         failed.append("repetition")
     if n >= UNPUNCTUATED_WORDS and not _TERMINAL.search(line):
         failed.append("punctuation")
-    if _BOILERPLATE.search(line.lower() if line.isascii() else _ascii_lower(line)):
-        failed.append("boilerplate")
+    if phrases:
+        low = line.lower()  # of bytes: A-Z only
+        if any(p in low for p in phrases):
+            failed.append("boilerplate")
     return failed
 
 
-def _ascii_lower(s: str) -> str:
-    return s.encode().lower().decode()
-
-
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window found twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -91,28 +98,28 @@ def repeated_words(words: list[bytes]) -> int:
 
 def judge_text(text: str | None) -> tuple:
     """The columns of `SCHEMA` for one text."""
-    text = text or ""
-    words = text.encode().split()
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words, low = data.split(), data.lower()
     n_words = len(words)
+    phrases = [p for p in _BOILERPLATE if p in low]
     seen, clean, lines, bad, repeated, lost = set(), [], 0, 0, 0, 0
-    for line in text.split("\n"):
-        n = len(line.encode().split())
-        if n:
+    for line in data.split(b"\n"):
+        own = line.split()
+        if own:
             lines += 1
             again = line in seen
             repeated += again
             seen.add(line)
-            if again or line_failures(line):
+            if again or line_failures(line, own, phrases):
                 bad += 1
-                lost += n
+                lost += len(own)
                 continue
         clean.append(line)
     repeat_words = repeated_words(words)
     base_failed = n_words < MIN_WORDS or 100 * repeat_words > MAX_REPEAT_PCT * n_words
-    return (n_words, len(text.translate(_NO_SPACE)), len(text) - len(text.translate(_NO_BASE_SYMBOLS)),
-            repeated, repeat_words, base_failed,
+    return (n_words, _solid(data), _count(data, _BASE), repeated, repeat_words, base_failed,
             not base_failed and 100 * lost <= MAX_LOST_PCT * n_words,
-            lines, bad, lost, "\n".join(clean))
+            lines, bad, lost, b"\n".join(clean).decode("utf-8", "surrogatepass"))
 
 
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
