@@ -16,7 +16,7 @@ from readmend.operators.repair import (
     common_edits, disputed_positions, touched_positions, trim_disputed, with_first_kmer_candidates)
 from readmend.plans.correction import exact_searcher, filter_searcher
 from readmend.sources import documents, reports
-from readmend.sources.scratch import scratch_dir
+from readmend.sources.scratch import scratch_dir, written
 
 K = 21
 FPR = 0.001
@@ -120,9 +120,7 @@ def histogram_report_kmer(spark, sf):
 
 def _spectrum(spark, sf):
     """Counts (cut off from their lineage), threshold, number of solid k-mers."""
-    from readmend.sources.scratch import checkpointed
-
-    table = checkpointed(counts(spark, sf))
+    table = written(counts(spark, sf))
     hist = spectrum.kmer_histogram(table)
     threshold = spectrum.find_threshold(hist)
     return table, threshold, spectrum.unique_solid(hist, threshold).first()["n_solid"]

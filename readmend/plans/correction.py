@@ -16,7 +16,7 @@ from readmend.sources import files, reports
 from readmend.sources.fastq import DEFAULT_RANGE, read_fastq, write_fastq
 from readmend.sources.package import send_package
 from readmend.sources.readlist import group_prefix
-from readmend.sources.scratch import checkpointed
+from readmend.sources.scratch import checkpointed, written
 
 
 @dataclass
@@ -72,7 +72,7 @@ def build_model(reads: DataFrame, config: C.RunConfig, prefix: str, write_report
                 ) -> tuple[Searcher, bloom.FilterModel | None, int, int]:
     """Count, choose the threshold, and make the solid k-mers searchable, by the
     filter or exactly. Their number decides how a test finds them, not its answer."""
-    counts = checkpointed(spectrum.kmer_counts(reads, config.k, config.threshold or C.MIN_COUNT))
+    counts = written(spectrum.kmer_counts(reads, config.k, config.threshold or C.MIN_COUNT))
     hist = checkpointed(spectrum.kmer_histogram(counts))
     threshold = config.threshold or spectrum.find_threshold(hist)
     # the histogram saturates, so a threshold beyond it is counted on the table
@@ -175,7 +175,7 @@ def correct_read_list(spark: SparkSession, groups: list[list[str]], config: C.Ru
 
 def solid_table(reads: DataFrame, config: C.RunConfig) -> DataFrame:
     """(kmer as bases, n): the solid k-mers with their counts."""
-    counts = checkpointed(spectrum.kmer_counts(reads, config.k))
+    counts = written(spectrum.kmer_counts(reads, config.k))
     threshold = config.threshold or spectrum.find_threshold(spectrum.kmer_histogram(counts))
     return counts.where(F.col("n") >= threshold).select(
         kmer_text(F.col("kmer"), config.k).alias("kmer"), "n")

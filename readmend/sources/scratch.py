@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,10 @@ def checkpointed(df):
     """Materialize in the shared folder and forget the lineage."""
     scratch_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df):
+    """The same as a table: later scans read the columns and rows they need."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
