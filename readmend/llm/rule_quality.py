@@ -30,7 +30,7 @@ TREES, DEPTH, LEAST_ROWS, CUTS = 40, 3, 10, 40
 SHARE_OF_ROWS, RATE = 0.5, 0.2
 PENALTIES = (0.02, 0.01, 0.005, 0.0025, 0.001, 0.0005)
 
-#: Occurrences of a pattern for each word or character.
+#: Occurrences of a pattern for each word. Texts get a line end at their end.
 _A_WORD = {
     "symbols": r"[#*$%&<>{}\[\]~^=_\\@]",
     "separators": r"[|•»·]",
@@ -39,10 +39,10 @@ _A_WORD = {
     "commas": r"[,;:]",
     "lines": r"\n",
     "numbers": r"[0-9]+",
-    "repeats": r"(?<!\S)(\S+)[ \t\n]+(?=\1(?!\S))",
-    "bare_lines": r"[^.!?…:;\s]\s*(?:\n|$)",
+    "repeats": r"(?<!\S)(\S++)[ \t\n]++(?=\1(?!\S))",
+    "bare_lines": r"[^.!?…:;\s][ \t\r\f\x0B]*+\n",
     "links": r"https?://|www\.",
-    "long_words": r"\S{15,}",
+    "long_words": r"(?<!\S)\S{15,}",
 }
 STATISTICS = ("log_words", "word_length", *_A_WORD, "capitals", "letters")
 
@@ -51,14 +51,16 @@ def statistics(text: Column) -> Column:
     """A struct of `STATISTICS`. Counts are bound by a lambda, each is made once."""
     text = F.coalesce(text, F.lit(""))
 
-    def count(pattern):
-        return F.regexp_count(text, F.lit(pattern)).cast("double")
+    ended = F.concat(text, F.lit("\n"))
+
+    def count(pattern):  # possessive quantifiers: nothing is tried twice
+        return F.regexp_count(ended, F.lit(pattern)).cast("double")
 
     def without(pattern):
         return F.length(F.regexp_replace(text, pattern, "")).cast("double")
 
     counts = F.struct(
-        count(r"[^\x20\x09-\x0D]+").alias("words"), without(r"[\x20\x09-\x0D]+").alias("solid"),
+        count(r"[^\x20\x09-\x0D]++").alias("words"), without(r"[\x20\x09-\x0D]+").alias("solid"),
         without(r"\P{L}+").alias("letters"), count(r"\p{Lu}").alias("capitals"),
         *[count(p).alias(n) for n, p in _A_WORD.items()])
 
