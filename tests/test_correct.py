@@ -109,7 +109,7 @@ def test_no_size_is_too_large(spark, simulated, tmp_path):
 
 def test_filter_of_one_part_near_the_data_equals_shipped(spark, simulated, tmp_path):
     reads, profile, solid, texts = prepared(spark, simulated[:250], 21, 3)
-    some = reads.where(F.col("read_id") < 120)
+    some = reads.where(F.col("read_id") < 60)
     model = bloom.build_filter(solid, 21, len(texts), 3, f"{tmp_path}/m", 0.2)
     shipped = as_dict(correct.corrected(some, ShippedSearcher(model.ship(spark)), 21, profile))
     moved = as_dict(correct.corrected(some, JoinedSearcher.over_filter(model), 21, profile))

@@ -96,7 +96,7 @@ def test_a_filter_in_parts_keeps_order_mates_and_files(spark, simulated, tmp_pat
     for mate in (0, 1):
         path = tmp_path / f"x_{mate + 1}.fastq"
         path.write_text(text_of(
-            [(f"r{i // 2}/{mate + 1}", s, "+", q) for i, s, q, _ in simulated[mate:160:2]]) + "\n")
+            [(f"r{i // 2}/{mate + 1}", s, "+", q) for i, s, q, _ in simulated[mate:80:2]]) + "\n")
         files.append(str(path))
     texts = {}
     for name, extra in {"one": {}, "parts": {"part_bytes": 4096}, "exact": {"membership": "exact"}}.items():
@@ -106,7 +106,7 @@ def test_a_filter_in_parts_keeps_order_mates_and_files(spark, simulated, tmp_pat
         assert os.path.exists(f"{tmp_path}/{name}.bf.size") == (name != "exact")
     assert texts["parts"] == texts["one"] == texts["exact"]
     for number, text in enumerate(texts["parts"], 1):
-        assert text.splitlines()[::4] == [f"@r{i}/{number}" for i in range(80)]
+        assert text.splitlines()[::4] == [f"@r{i}/{number}" for i in range(40)]
     config = C.RunConfig(k=21, prefix=f"{tmp_path}/again")
     loaded = correct_group(spark, files, config, load=f"{tmp_path}/parts", range_bytes=3000)
     assert [folder_text(o) for o in loaded.outputs] == texts["parts"]
@@ -128,7 +128,7 @@ def test_gzip_input_is_spread_and_written_in_order(spark, simulated, tmp_path):
 
 
 def test_paths_with_and_without_a_scheme(spark, simulated, tmp_path):
-    (tmp_path / "x.fastq").write_text(text_of([(f"r{i}", s, "+", q) for i, s, q, _ in simulated[:60]]) + "\n")
+    (tmp_path / "x.fastq").write_text(text_of([(f"r{i}", s, "+", q) for i, s, q, _ in simulated[:40]]) + "\n")
     out = []
     for path, prefix in ((f"file://{tmp_path}/x.fastq", f"file://{tmp_path}/a"), (f"file:{tmp_path}/x.fastq", f"{tmp_path}/b"),
                          (f"{tmp_path}/x.fastq", f"file:{tmp_path}/c")):
