@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from readmend.config import QualityProfile
+from readmend.config import ConfigError, QualityProfile
 from readmend.operators.correct import corrected
-from readmend.operators.repair import Searcher
+from readmend.operators.repair import Searcher, ShippedSearcher
 
 
 def correct_stream(reads: DataFrame, searcher: Searcher, k: int, quality: QualityProfile,
                    max_extension: int = 5, trim: bool = True) -> DataFrame:
-    """Streaming reads (seq, qual, any other columns) to corrected ones."""
+    """Streaming reads (seq, qual, any other columns) to corrected ones. Tests that
+    move to the data need finished tables, so the filter must have one part."""
+    if reads.isStreaming and not isinstance(searcher, ShippedSearcher):
+        raise ConfigError("a stream is corrected with a filter of one part, or shipped k-mers")
     return corrected(reads, searcher, k, quality, max_extension, trim)
 
 

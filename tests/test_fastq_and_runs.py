@@ -253,6 +253,7 @@ def test_stream_gives_what_a_batch_gives(spark, simulated, tmp_path):
     from test_correct import as_dict, prepared
 
     from readmend.operators import bloom
+    from readmend.operators.joined import JoinedSearcher
     from readmend.operators.repair import ShippedSearcher
     from readmend.streaming.correct_stream import start_correction
 
@@ -260,6 +261,8 @@ def test_stream_gives_what_a_batch_gives(spark, simulated, tmp_path):
     reads.write.parquet(f"{tmp_path}/in")
     searcher = ShippedSearcher(bloom.ship_kmers(solid, 21, len(texts)))
     stream = spark.readStream.schema(reads.schema).parquet(f"{tmp_path}/in")
+    with pytest.raises(C.ConfigError):
+        start_correction(stream, JoinedSearcher.over(solid, 21), 21, profile, "unused", "unused")
     query = start_correction(stream, searcher, 21, profile, f"{tmp_path}/out",
                              f"{tmp_path}/state", availableNow=True)
     query.awaitTermination(120)
