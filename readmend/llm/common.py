@@ -38,14 +38,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder == 1, F.lit(False))
 
 
+def clean_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) that may be learnt from, a row a doc_id. Labels that are null, held
+    out, or disagree on one doc_id, are left out."""
+    return (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+            .groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
+            .where("low = high").select("doc_id", F.col("low").cast("int").alias("label")))
+
+
+def sampling_rates(labels: DataFrame, label: str, most: dict[int, int]) -> dict[int, float]:
+    """Which share of the clean labels of each value `learning_sample` takes."""
+    found = {r["label"]: r["n"] for r in clean_labels(labels, label)
+             .where(F.col("label").isin(list(most))).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {value: min(1.0, n / found[value]) if found.get(value) else 1.0 for value, n in most.items()}
+
+
 def learning_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
     """(doc_id, text, label) of at most `most[value]` documents of each label value, chosen
-    by a hash of the doc_id, none of them held out. Labels that are null, or disagree on
-    one doc_id, are left out. Only ids are sorted; the texts meet the chosen ids, a bounded
-    number, by a broadcast."""
-    clean = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-             .groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high"))
-             .where("low = high").select("doc_id", F.col("low").cast("int").alias("label")))
+    by a hash of the doc_id from the clean labels. Each value has its own rate then
+    (`sampling_rates`), which a model of the share of a value has to undo. Only ids are
+    sorted; the texts meet the chosen ids, a bounded number, by a broadcast."""
+    clean = clean_labels(labels, label)
     chosen = None
     for value, n in most.items():
         part = clean.where(F.col("label") == value).orderBy(

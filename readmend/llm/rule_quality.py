@@ -8,7 +8,9 @@ penalty is the one that does best on a fifth of the rows. The rules left are com
 one column expression, so every text is scored inside the executors' JVM.
 
 Learning takes at most `MOST_ROWS` labelled documents of each kind and only their statistics
-come to the driver. A null text is an empty one, with all statistics 0, and is scored as
+come to the driver. Where that leaves out labels, the two kinds are sampled at different
+rates; the level is moved by the log of their quotient, so scores follow the share of good
+documents among all labels and not the one in the sample. A null text is an empty one, with all statistics 0, and is scored as
 any other. Without labels of both kinds every score is the (smoothed) share of label 1.
 """
 
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readmend.llm.common import held_out, learning_sample
+from readmend.llm.common import held_out, learning_sample, sampling_rates
 
 MOST_ROWS = {0: 4000, 1: 6000}
 THRESHOLD = 0.5
@@ -187,14 +189,18 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, start=None,
     return w, float(level)
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
+def fit(x: np.ndarray, y: np.ndarray, rates: dict[int, float] | None = None) -> RuleModel:
+    """`rates`: the share of all rows of a label that `x` and `y` hold, one if not given."""
     y = np.asarray(y, float)
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    rates = rates or {0: 1.0, 1: 1.0}
+    good = y.sum() / rates[1]
+    bad = (len(y) - y.sum()) / rates[0]
+    constant = RuleModel(math.log((good + 0.5) / (bad + 0.5)))
     if not 0 < y.sum() < len(y):
-        return RuleModel(math.log(share / (1 - share)))
+        return constant
     rules = propose_rules(x, y)
     if not rules:
-        return RuleModel(math.log(share / (1 - share)))
+        return constant
     r = np.stack([_holds(x, rule) for rule in rules], 1).astype(float)
     test = np.arange(len(y)) % 5 == 4
     best, start = (math.inf, PENALTIES[-1]), None
@@ -206,6 +212,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
             if loss < best[0]:
                 best = (loss, penalty)
     w, level = lasso_logistic(r, y, best[1])
+    level += math.log(rates[0] / rates[1])
     return RuleModel(level, [(rule, float(v)) for rule, v in zip(rules, w) if abs(v) > 1e-4])
 
 
@@ -216,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> RuleModel:
     rows = sorted(map(tuple, sample.select("doc_id", "label", statistics(F.col("text")).alias("s"))
                       .select("doc_id", "label", "s.*").collect()))
     x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(STATISTICS))
-    return fit(x, np.array([r[1] for r in rows]))
+    return fit(x, np.array([r[1] for r in rows]), sampling_rates(labels, "quality", MOST_ROWS))
 
 
 def quality(text: Column, model: RuleModel) -> Column:

@@ -15,8 +15,10 @@ window against ordinary ones are counted, on documents that the dictionaries of
 did not learn from (two halves). A document's evidence is the sum of its `TOP` largest log
 odds, and a logistic curve makes it a probability.
 
-Learning takes at most `MOST_TOXIC` and `MOST_ORDINARY` labelled documents; every text is
-scored whole. A null text is an empty one; a text without a letter has no evidence. Without
+Learning takes at most `MOST_TOXIC` and `MOST_ORDINARY` labelled documents. Where that
+leaves out labels, the two kinds are sampled at different rates; the level is moved by the
+log of their quotient, so scores follow the share of toxic documents among all labels and
+not the one in the sample. Every text is scored whole. A null text is an empty one; a text without a letter has no evidence. Without
 labels of both kinds every score is the (smoothed) share of toxic labels.
 """
 
@@ -33,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readmend.llm.common import held_out, learning_sample
+from readmend.llm.common import held_out, learning_sample, sampling_rates
 
 MOST_TOXIC, MOST_ORDINARY = 2000, 5000
 SHARED_BYTES, OWN_BYTES = 2048, 32768
@@ -151,13 +153,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """`rows`: (text, label)."""
+def fit(rows: list[tuple[str, int]], rates: dict[int, float] | None = None) -> Model:
+    """`rows`: (text, label); `rates`: the share of all rows of a label that they hold, one
+    if not given."""
+    rates = rates or {0: 1.0, 1: 1.0}
     rows = [(windows(t), label) for t, label in dict.fromkeys(rows)]
     labels = np.array([label for _, label in rows])
-    share = (labels.sum() + 0.5) / (len(rows) + 1)
     if not 0 < labels.sum() < len(rows):
-        return Model(TAIL, TAIL, level=math.log(share / (1 - share)))
+        toxic, ordinary = labels.sum() / rates[1], (len(rows) - labels.sum()) / rates[0]
+        return Model(TAIL, TAIL, level=math.log((toxic + 0.5) / (ordinary + 0.5)))
     halves = [[r for r in rows if r[1]][i::2] + [r for r in rows if not r[1]][i::2] for i in (0, 1)]
     counts, sizes, cells = [Counter(), Counter()], [0, 0], []
     for learn, test in (halves, halves[::-1]):
@@ -174,13 +178,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     # a cell stands for all windows of its lengths: the sum over cells, as each half saw them
     x = np.array([sum(sorted(odds.get(c, 0.0) for c in found)[-TOP:]) for _, found in cells])
     model.slope, model.level = _logistic(x, np.array([label for label, _ in cells], float))
+    model.level += math.log(rates[0] / rates[1])
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = learning_sample(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_ORDINARY})
+    most = {1: MOST_TOXIC, 0: MOST_ORDINARY}
+    sample = learning_sample(docs, labels, "toxic", most)
     return fit([(r["text"], r["label"]) for r in sorted(
-        sample.select("doc_id", "text", "label").collect())])
+        sample.select("doc_id", "text", "label").collect())], sampling_rates(labels, "toxic", most))
 
 
 def toxicity(text: Column, model: Model) -> Column:

@@ -182,3 +182,27 @@ def test_toxic_words_are_caught_and_others_left():
         rows.append((" ".join(text), int(i % 4 == 0)))
     model = toxicity.fit(rows[:300])
     assert np.mean([(model.score(t) >= 0.7) == bool(y) for t, y in rows[300:]]) > 0.97
+
+
+def test_levels_follow_all_labels_and_not_the_caps(spark, monkeypatch):
+    docs, labels = documents(spark, "sf0.1")
+    whole = rule_quality.learn(docs, labels).level, toxicity.learn(docs, labels).level
+    # caps that take three tenths of one label value only
+    monkeypatch.setattr(rule_quality, "MOST_ROWS", {0: 4000, 1: 678})
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 700)
+    fit_quality, fit_toxicity = rule_quality.fit, toxicity.fit
+    as_sampled = []
+    for module, fit in ((rule_quality, fit_quality), (toxicity, fit_toxicity)):
+        monkeypatch.setattr(module, "fit", lambda *rows, f=fit: as_sampled.append(f(*rows[:-1]).level) or f(*rows))
+    capped = rule_quality.learn(docs, labels).level, toxicity.learn(docs, labels).level
+    gaps = [c - s for c, s in zip(capped, as_sampled)]
+    assert np.allclose(gaps, [np.log(2260 / 678), np.log(700 / 2331)])
+    assert all(abs(c - w) < abs(s - w) for c, s, w in zip(capped, as_sampled, whole))
+    print("levels: whole", whole, "capped, not corrected", as_sampled, "capped", capped)
+
+
+def test_share_without_both_labels_follows_all_labels():
+    x = np.zeros((50, len(rule_quality.STATISTICS)))
+    for model in (rule_quality.fit(x, np.ones(50), {0: 1.0, 1: 0.1}),
+                  toxicity.fit([(f"text {'a' * i}", 1) for i in range(50)], {0: 1.0, 1: 0.1})):
+        assert np.isclose(model.level, np.log(500.5 / 0.5))
