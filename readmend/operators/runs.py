@@ -6,11 +6,19 @@ to the task of the minimizer's bucket, and not as one row a k-mer. Equal k-mers
 minimizers, so a bucket counts its k-mers by itself, by sorting.
 
 A bucket that a batch of reads fills far beyond its share (an adapter, poly-A) moves as
-k-mers with counts, so the copies collapse before the shuffle.
+k-mers with counts, so the copies collapse before the shuffle. A bucket that fills far more
+than its share in the first reads of all partitions is not left to one task: its k-mers are
+dealt over all tasks by a hash of the k-mer. That look decides only where k-mers are counted.
+
+A task holds about `_MOST_KMERS` counts. A bucket with more writes them, sorted, to the
+executor's local folder and merges them a range of k-mers at a time.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +34,10 @@ _BATCH_BASES = 4 << 20
 _CHUNK_WINDOWS = 4 << 20
 #: Share of a batch's windows above which a bucket is counted before the shuffle.
 _HEAVY_SHARE = 1 / 8
+#: Counts a task holds at most, besides those of one chunk.
+_MOST_KMERS = 4 << 20
+#: Reads of each partition that are looked at for buckets of many times the mean, of at least so many windows.
+_FIRST_READS, _HOT_TIMES, _HOT_WINDOWS = 1000, 8, 4096
 _MOVED = "bucket int, lengths binary, bases binary, kmers binary, counts binary"
 _NAMES = [c.split()[0] for c in _MOVED.split(", ")]
 
@@ -93,21 +105,31 @@ def unpack_runs(data: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.nda
             np.concatenate(([0], np.cumsum(bases))))
 
 
-def _rows_of(codes, offsets, k, buckets):
+def _rows_of(codes, offsets, k, buckets, hot=(), parts=1):
+    """`hot` buckets go to those from `buckets` on, of which there are `parts`, by a hash of the k-mer."""
     hashes, first, windows, values, run = find_runs(codes, offsets, k)
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    sizes = np.bincount(bucket, windows, buckets)
-    heavy = sizes > max(_HEAVY_SHARE * sizes.sum(), 4096)
     cols: list[list] = [[] for _ in _NAMES]
 
     def add(*row):
         for c, v in zip(cols, row):
             c.append(v)
 
+    dealt = np.isin(bucket, np.asarray(hot, np.int64))
+    if dealt.any():
+        kmers, n = np.unique(values[dealt[run]], return_counts=True)
+        part = (_order(kmers) % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        kmers, n, part = kmers[by_part], n[by_part].astype(np.int64), part[by_part]
+        edges = np.flatnonzero(np.diff(np.append(np.append(-1, part), -1)))
+        for a, b in zip(edges, edges[1:]):
+            add(buckets + int(part[a]), None, None, kmers[a:b].tobytes(), n[a:b].tobytes())
+    sizes = np.bincount(bucket, windows * ~dealt, buckets)
+    heavy = sizes > max(_HEAVY_SHARE * windows.sum(), 4096)
     for b in np.flatnonzero(heavy):
         kmers, n = np.unique(values[bucket[run] == b], return_counts=True)
         add(int(b), None, None, kmers.tobytes(), n.astype(np.int64).tobytes())
-    light = np.flatnonzero(~heavy[bucket])
+    light = np.flatnonzero(~heavy[bucket] & ~dealt)
     light = light[np.argsort(bucket[light], kind="stable")]
     bases = windows[light] + k - 1
     packed = pack_runs(codes, first[light], bases)
@@ -121,28 +143,88 @@ def _rows_of(codes, offsets, k, buckets):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], _NAMES)
 
 
-def count_by_runs(reads: DataFrame, k: int, min_count: int, seq: str = "seq") -> DataFrame:
-    """(kmer bigint, n bigint) of packed canonical k-mers seen at least `min_count` times."""
-    partitions = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS_A_PARTITION * partitions
+def hot_buckets(reads: DataFrame, k: int, buckets: int, seq: str = "seq") -> list[int]:
+    """Buckets that hold `_HOT_TIMES` the mean of the windows in the first reads of all partitions."""
+    most = _FIRST_READS
 
-    def cut(batches):
-        held, size = [], 0
+    def sizes(batches):
+        total, left = np.zeros(buckets), most
         for batch in batches:
-            codes, offsets = kc.string_codes(batch.column(0))
-            held.append((codes, offsets))
-            size += len(codes)
-            if size >= _BATCH_BASES:
-                yield _rows_of(*_joined(held), k, buckets)
-                held, size = [], 0
-        if held:
-            yield _rows_of(*_joined(held), k, buckets)
+            hashes, _, windows, _, _ = find_runs(*kc.string_codes(batch.column(0).slice(0, left)), k)
+            total += np.bincount((hashes % np.uint64(buckets)).astype(np.int64), windows, buckets)
+            left -= batch.num_rows
+            if left <= 0:
+                break  # the other reads are not made
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], ["bucket", "n"])
+
+    found = (reads.select(F.col(seq)).mapInArrow(sizes, "bucket int, n bigint")
+             .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    least = max(_HOT_TIMES * sum(r["n"] for r in found) / buckets, _HOT_WINDOWS)
+    return sorted(r["bucket"] for r in found if r["n"] > least)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each k-mer of (kmers, n) once, ascending."""
+    kmers, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = np.zeros(len(kmers), np.int64)
+    np.add.at(sums, where, np.concatenate([p[1] for p in parts]))
+    return kmers, sums
+
+
+class _Spilled:
+    """Ascending (kmers, n) in a file without a name in the executor's local folder."""
+
+    def __init__(self, kmers: np.ndarray, n: np.ndarray):
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        self.file = tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
+        kmers.astype(np.uint64).tofile(self.file)
+        n.astype(np.int64).tofile(self.file)
+        self.at, self.size = 0, len(kmers)
+        self.kmers, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def fill(self, most: int):
+        """Have rows at hand, if any are left."""
+        if not len(self.kmers) and self.at < self.size:
+            most = min(most, self.size - self.at)
+            self.file.seek(8 * self.at)
+            self.kmers = np.fromfile(self.file, np.uint64, most)
+            self.file.seek(8 * (self.size + self.at))
+            self.n = np.fromfile(self.file, np.int64, most)
+            self.at += most
+            if self.at == self.size:
+                self.file.close()
+
+    def up_to(self, kmer) -> tuple[np.ndarray, np.ndarray]:
+        cut = np.searchsorted(self.kmers, kmer, side="right")
+        out = self.kmers[:cut], self.n[:cut]
+        self.kmers, self.n = self.kmers[cut:], self.n[cut:]
+        return out
+
+
+def _merged(spilled: list[_Spilled], most: int):
+    """(kmers, n) of all, ascending, about `most` rows at a time."""
+    while True:
+        for s in spilled:
+            s.fill(max(1, most // len(spilled)))
+        spilled = [s for s in spilled if len(s.kmers)]
+        if not spilled:
+            return
+        last = min(s.kmers[-1] for s in spilled)
+        yield _added([s.up_to(last) for s in spilled])
+
+
+def counter(k: int, min_count: int):
+    """Counts the rows of buckets, which come one bucket after the other. No batch it gives has
+    more than about `_MOST_KMERS` k-mers and those of one chunk."""
+    most, chunk = _MOST_KMERS, _CHUNK_WINDOWS
 
     def count(batches):
-        total = None  # (kmers, n) of the bucket at hand
+        total, spilled = None, []  # (kmers, n) of the bucket at hand, and those that were too many
         runs, windows, bucket = [], 0, None
 
-        def merged():
+        def merge():
             nonlocal total, runs, windows
             parts = [total] if total is not None else []
             packed = [r for r in runs if r[0] is not None]
@@ -153,38 +235,61 @@ def count_by_runs(reads: DataFrame, k: int, min_count: int, seq: str = "seq") ->
             parts += [(np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.int64))
                       for r in runs if r[2] is not None]
             runs, windows = [], 0
-            if len(parts) == 1:
-                total = parts[0]
-            elif parts:
-                kmers, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                sums = np.zeros(len(kmers), np.int64)
-                np.add.at(sums, where, np.concatenate([p[1] for p in parts]))
-                total = kmers, sums
-
-        def result():
-            kmers, n = total
-            often = n >= min_count
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kmers[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["kmer", "n"])
+            if parts:
+                total = parts[0] if len(parts) == 1 and packed else _added(parts)
+            if len(total[0]) > most:
+                spilled.append(_Spilled(*total))
+                total = None
+
+        def results():
+            nonlocal total, spilled
+            merge_of = spilled and [*spilled, *([_Spilled(*total)] if total is not None else [])]
+            for kmers, n in _merged(merge_of, most) if merge_of else [total]:
+                often = n >= min_count
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kmers[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["kmer", "n"])
+            total, spilled = None, []
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != bucket and bucket is not None:
-                    merged()
-                    yield result()
-                    total = None
+                    if runs:
+                        merge()
+                    yield from results()
                 bucket = row[0]
                 runs.append(row[1:])
                 windows += 4 * len(row[2] or row[3])
-                if windows > _CHUNK_WINDOWS:
-                    merged()
+                if windows > chunk:
+                    merge()
         if bucket is not None:
-            merged()
-            yield result()
+            if runs:
+                merge()
+            yield from results()
+
+    return count
+
+
+def count_by_runs(reads: DataFrame, k: int, min_count: int, seq: str = "seq") -> DataFrame:
+    """(kmer bigint, n bigint) of packed canonical k-mers seen at least `min_count` times."""
+    partitions = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS_A_PARTITION * partitions
+    hot = hot_buckets(reads, k, buckets, seq)
+
+    def cut(batches):
+        held, size = [], 0
+        for batch in batches:
+            codes, offsets = kc.string_codes(batch.column(0))
+            held.append((codes, offsets))
+            size += len(codes)
+            if size >= _BATCH_BASES:
+                yield _rows_of(*_joined(held), k, buckets, hot, partitions)
+                held, size = [], 0
+        if held:
+            yield _rows_of(*_joined(held), k, buckets, hot, partitions)
 
     moved = (reads.select(F.col(seq)).mapInArrow(cut, _MOVED)
              .repartition(partitions, "bucket").sortWithinPartitions("bucket"))
-    return moved.mapInArrow(count, "kmer bigint, n bigint")
+    return moved.mapInArrow(counter(k, min_count), "kmer bigint, n bigint")
 
 
 def _joined(held):

@@ -75,3 +75,55 @@ def test_runs_pack_and_unpack():
     back, offsets = runs.unpack_runs(runs.pack_runs(codes, first, bases), bases)
     for i, (a, n) in enumerate(zip(first, bases)):
         assert back[offsets[i]:offsets[i + 1]].tolist() == codes[a:a + n].tolist()
+
+
+def reads_with_a_hot_minimizer(n, k=21, seed=5):
+    """Every window holds the M-mer of least hash between flanks that differ."""
+    values = np.arange(4 ** runs.M, dtype=np.uint64)
+    canonical = kc.canonical_windows(
+        ((values[:, None] >> np.uint64(2) * np.arange(runs.M - 1, -1, -1, dtype=np.uint64)) & np.uint64(3)).astype(np.uint8).ravel(),
+        np.arange(len(values) + 1) * runs.M, runs.M)[0]
+    least = int(canonical[runs._order(canonical).argmin()])
+    core = "".join("ACGT"[least >> 2 * i & 3] for i in reversed(range(runs.M)))
+    rng = random.Random(seed)
+    flank = k - runs.M
+    return ["".join(rng.choices("ACGT", k=flank)) + core + "".join(rng.choices("ACGT", k=flank)) for _ in range(n)]
+
+
+def test_a_bucket_of_many_kmers_is_not_held_whole(spark, monkeypatch):
+    monkeypatch.setattr(runs, "_MOST_KMERS", 500)
+    monkeypatch.setattr(runs, "_CHUNK_WINDOWS", 300)
+    reads = reads_with_a_hot_minimizer(600)
+    reads += reads[:200]
+    rows = pa.Table.from_batches(
+        [runs._rows_of(*kc.string_codes(pa.array(reads[i:i + 20])), 21, 64) for i in range(0, len(reads), 20)])
+    rows = rows.sort_by("bucket").to_batches(max_chunksize=4)
+    found, sizes = Counter(), []
+    for batch in runs.counter(21, 1)(rows):
+        sizes.append(batch.num_rows)
+        for kmer, n in zip(*(c.to_pylist() for c in batch.columns)):
+            found[kmer] += n
+    assert max(sizes) < 2000 < len(found) and sorted(found.values()) == sorted(plain(reads, 21).values())
+    df = spark.createDataFrame([(s,) for s in reads], "seq string").repartition(3)
+    got = runs.count_by_runs(df, 21, 2).select(unpack_kmer(F.col("kmer"), 21), "n").collect()
+    expected = {w: n for w, n in plain(reads, 21).items() if n >= 2}
+    assert len(got) == len(expected) and dict(map(tuple, got)) == expected
+
+
+def test_a_hot_bucket_of_different_kmers_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(runs, "_HOT_WINDOWS", 1000)
+    reads = reads_with_a_hot_minimizer(3000) + reads_of()
+    reads += reads[:500]
+    df = spark.createDataFrame([(s,) for s in reads], "seq string").repartition(3)
+    hot = runs.hot_buckets(df, 21, 64)
+    assert hot
+    rows = runs._rows_of(*kc.string_codes(pa.array(reads)), 21, 64, hot, 8)
+    sizes = Counter()
+    for bucket, kmers in zip(rows.column("bucket").to_pylist(), rows.column("kmers").to_pylist()):
+        sizes[bucket] += len(kmers or b"") // 8
+    dealt = [sizes[b] for b in range(64, 72)]
+    assert min(dealt) > 0 and max(dealt) < 1.2 * min(dealt) and not any(sizes[b] for b in hot)
+    for at_least in (1, 2):
+        got = runs.count_by_runs(df, 21, at_least).select(unpack_kmer(F.col("kmer"), 21), "n").collect()
+        expected = {w: n for w, n in plain(reads, 21).items() if n >= at_least}
+        assert len(got) == len(expected) and dict(map(tuple, got)) == expected
