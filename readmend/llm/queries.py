@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from readmend.llm import (
-    balance, line_cleaning, minhash, order_minhash, packing, rule_quality, token_files, toxicity,
-    url_alias, warc)
+    balance, decontaminate, fill_in_middle, line_cleaning, minhash, order_minhash, packing, resampling,
+    rule_quality, token_files, toxicity, url_alias, warc)
 from readmend.llm.common import table
 from readmend.llm.tokens import public_path
 
@@ -59,11 +59,27 @@ def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_wu_manber(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rule_quality, op2_line_cleaning, op3_url_alias, op4_order_minhash, op5_warc,
-    op6_linear_grouping, op7_entropy_balancing, op8_token_files, op9_toxicity, op10_minhash)}
+    op6_linear_grouping, op7_entropy_balancing, op8_token_files, op9_toxicity, op10_minhash,
+    op11_fill_in_middle, op12_resampling, op13_wu_manber)}
 ORACLES = {
     "op2_line_cleaning": line_cleaning.oracle(),
     "op3_url_alias": url_alias.oracle(),
     "op5_warc": warc.oracle(),
+    "op11_fill_in_middle": fill_in_middle.oracle(),
+    "op12_resampling": resampling.oracle(),
+    "op13_wu_manber": decontaminate.oracle(),
 }
