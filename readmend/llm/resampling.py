@@ -132,10 +132,10 @@ def bucket_gains(documents: DataFrame, target: DataFrame, buckets: int = BUCKETS
     both = (spark.range(buckets).select(F.col("id").alias("bucket"))
             .join(documents.withColumnRenamed("n", "s"), "bucket", "left")
             .join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["s", "t"]))
-    totals = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    s, t, all_s, all_t = (F.col(c).cast("double") for c in ("s", "t", "all_s", "all_t"))
+    all_s, all_t = both.agg(F.sum("s").cast("double"), F.sum("t").cast("double")).first()
+    s, t = F.col("s").cast("double"), F.col("t").cast("double")
     gain = F.floor(1000 * F.log((t + 1) * (all_s + buckets) / ((s + 1) * (all_t + buckets))))
-    rows = both.crossJoin(F.broadcast(totals)).select("bucket", gain.alias("gain")).collect()  # a row a bucket
+    rows = both.select("bucket", gain.alias("gain")).collect()  # a row a bucket
     out = [0] * buckets
     for bucket, g in rows:
         out[bucket] = g

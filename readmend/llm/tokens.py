@@ -19,8 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 
 END_ID = 2
-CACHE_WORDS = 450_000
-RARE_WORDS = 150_000
+CACHE_WORDS = 250_000
+RARE_WORDS = 60_000
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
