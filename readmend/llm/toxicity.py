@@ -3,8 +3,10 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text, and each
 window of a document is compressed with both. A window is a distinct word (a run of
 letters, lower-cased, at most `LONGEST` of them) with its spaces. A toxic document is mostly
-ordinary prose, so the toxic dictionary learns from those words that toxic documents hold
-`RATIO` times as often as ordinary ones; the same part of ordinary text stands before both.
+ordinary prose, and dictionaries trained on its whole text hardly tell it from other prose. So the
+toxic dictionary learns from a choice of words: those that `LEAST_SHARE` of the toxic documents hold
+(`LEAST_COUNT` at least), and `RATIO` times as often as ordinary documents. The ordinary one learns
+from an even choice of about `MOST_SAMPLES` words; the same part of it stands before both.
 Behind each window stands a tail that both dictionaries hold: the fixed costs of a
 compressed block are then the same for both, and the coder, which looks for no match in the
 last 8 bytes, sees the whole window.
@@ -47,6 +49,7 @@ CACHE_WORDS = 300_000
 TAIL = b"<0123456789abcdef>"
 _WORD = re.compile(r"[^\W\d_]+")
 SMOOTHING = 0.3
+MOST_SAMPLES = 60_000
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -126,7 +129,7 @@ def train_dictionaries(rows: list[tuple[list[bytes], int]]) -> Model:
     telling = sorted(w for w, n in counts[1].items() if n >= least
                      and n / sizes[1] >= RATIO * (counts[0][w] + 0.5) / max(sizes[0], 1))
     ordinary = [w for found, label in rows if not label for w in found]
-    step = max(1, len(ordinary) // 60_000)
+    step = max(1, len(ordinary) // MOST_SAMPLES)
     shared = _trained(ordinary[::2 * step], SHARED_BYTES)
     own = _trained(ordinary[step::2 * step], OWN_BYTES)
     # each telling word counts the same; the trainer wants them often
@@ -135,7 +138,20 @@ def train_dictionaries(rows: list[tuple[list[bytes], int]]) -> Model:
 
 
 def _cells(model: Model, rows) -> list[set]:
-    return [{model.lengths(w) for w in found} for found, _ in rows]
+    """The cells of each row's windows. A window is compressed once, and equal cells are one
+    object: this is the most that learning holds on the driver."""
+    cell_of: dict[bytes, tuple] = {}
+    shared: dict[tuple, tuple] = {}
+    for w in {w for found, _ in rows for w in found}:
+        cell = model.lengths(w)
+        cell_of[w] = shared.setdefault(cell, cell)
+    return [set(map(cell_of.__getitem__, found)) for found, _ in rows]
+
+
+def _with_windows(rows) -> list[tuple[list[bytes], int]]:
+    """Distinct (text, label) with windows for the text; equal windows are one object."""
+    shared: dict[bytes, bytes] = {}
+    return [([shared.setdefault(w, w) for w in windows(t)], label) for t, label in dict.fromkeys(rows)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -157,7 +173,7 @@ def fit(rows: list[tuple[str, int]], rates: dict[int, float] | None = None) -> M
     """`rows`: (text, label); `rates`: the share of all rows of a label that they hold, one
     if not given."""
     rates = rates or {0: 1.0, 1: 1.0}
-    rows = [(windows(t), label) for t, label in dict.fromkeys(rows)]
+    rows = _with_windows(rows)
     labels = np.array([label for _, label in rows])
     if not 0 < labels.sum() < len(rows):
         toxic, ordinary = labels.sum() / rates[1], (len(rows) - labels.sum()) / rates[0]

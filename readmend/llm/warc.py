@@ -7,8 +7,11 @@ a revisit still has the length and digest of the full payload.
 Reader: a file is cut into ranges without looking at it, and a task finds the records that
 start in its range. It scans for the gzip magic, takes a candidate only if the member
 decodes and begins with a WARC header, and goes on at the end of each record, so only the
-first record of a range is searched for. The last record of a range is read past its end. A
-member ends at its checksum; damage within a range raises.
+first record of a range is searched for. The last record of a range is read past its end, and
+the one that follows it, in whichever range, is decoded as well. So each record has been
+decoded by a task that knew where it begins: the first of a file begins at byte 0, any other
+where the one before it ends. A record that does not decode raises, wherever it lies, and so
+does a file that is longer or shorter than its manifest says.
 
 A null html is an empty payload. A null page_id is never the first of a payload unless all
 are null; rows that share the least page_id of a payload are all responses. A null url
@@ -154,7 +157,7 @@ def parse(content: bytes) -> tuple:
 
 def records_in_range(f, start: int, end: int) -> Iterator[bytes]:
     """Contents of the records that start at start, ..., end - 1."""
-    size, at, found = f.size(), start, False
+    size, at, found = f.size(), start, start == 0
     end = min(end, size)
     base, buffer = start, b""
     while at < end:
@@ -180,11 +183,17 @@ def records_in_range(f, start: int, end: int) -> Iterator[bytes]:
         found = True
         yield content
         at = after
+    if found and at < size:  # the task of its range would take a damaged record for none
+        f.seek(at)
+        try:
+            _member(f, at, f.read(_STEP))
+        except zlib.error as e:
+            raise DamagedArchive(f"record at byte {at}: {e}") from e
 
 
 def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """`RECORDS` of the archives in (path, bytes)."""
-    ranges = files.select("path", F.explode(F.expr(
+    ranges = files.select("path", "bytes", F.explode(F.expr(
         f"sequence(0L, bytes - 1, {range_bytes}L)")).alias("start"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
                         ("payload_digest", pa.string()), ("record_type", pa.string()),
@@ -199,6 +208,8 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool =
             for r in batch.to_pylist():
                 rows, held = [], 0
                 with shards.reader(r["path"]) as f:
+                    if f.size() != r["bytes"]:
+                        raise DamagedArchive(f"{r['path']} has {f.size()} bytes of {r['bytes']}")
                     for content in records_in_range(f, r["start"], r["start"] + range_bytes):
                         row = parse(content)
                         rows.append(row if payloads else row[:-1] + (None,))

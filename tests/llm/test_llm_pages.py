@@ -116,3 +116,23 @@ def test_damage_is_reported():
         list(warc.records_in_range(Bytes(cut), 0, len(cut)))
     with pytest.raises(warc.DamagedArchive):
         list(warc.records_in_range(Bytes(records[0] + b"junk" + records[1]), 0, 10 ** 6))
+
+
+@pytest.mark.parametrize("step", [1, 60, 333, 5000, 1 << 20])
+def test_no_damaged_record_is_passed_over(step):
+    records = [warc.record(i, f"http://x/{i}", bytes(range(256)) * (1 + i % 3) + warc.MAGIC) for i in range(6)]
+    data, begin = b"".join(records), 0
+    for r in records:
+        for at in (0, 1, 11, len(r) // 2, len(r) - 8, len(r) - 1):
+            bad = bytearray(data)
+            bad[begin + at] ^= 0x40
+            with pytest.raises(warc.DamagedArchive):
+                for a in range(0, len(bad), step):
+                    list(warc.records_in_range(Bytes(bytes(bad)), a, a + step))
+        begin += len(r)
+
+
+def test_a_file_of_another_length_is_reported(spark):
+    files = warc.write_warc(pages(spark, WARC_ROWS))
+    with pytest.raises(Exception, match="bytes of"):
+        warc.read_warc(files.selectExpr("path", "bytes + 1 bytes", "records")).collect()
