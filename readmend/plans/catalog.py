@@ -372,7 +372,7 @@ def correction_stats(spark, sf):
 
 def corrected_fastq(spark, sf):
     done = _corrected(spark, sf).withColumn("name", F.concat(
-        F.lit("r"), F.col("pair_id"), F.lit("/"), F.col("mate"))).withColumn("plus", F.lit("+"))
+        F.lit("@r"), F.col("pair_id"), F.lit("/"), F.col("mate"))).withColumn("plus", F.lit("+"))
     return done.select("mate", "read_id", reports.fastq_record().alias("record"))
 
 

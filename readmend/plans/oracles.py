@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from readmend.plans.catalog import K
+from readmend.plans.repair_sql import CORRECTION, PROFILE, REGIONS
 from readmend.sources.documents import (
     LETTER_BASES, LETTER_QUALITIES, LETTERS, PAIRS_PER_TEXT, READ_LETTERS, STRIDE)
 
@@ -320,3 +321,30 @@ ORACLES: dict[str, str] = {
         "from gated g join ext using (read_id) where gate group by 1",
         _SPECTRUM, _NORM, _OUTSIDE, recursive=True),
 }
+
+_PROFILED = (_HIST, _PAIRED, _CUTS, PROFILE, _SPECTRUM, _NORM, _FLAGS)
+
+
+def correction_of(reads: str, solid: str, select: str) -> str:
+    """The correction of any reads (read_id, pair_id, mate, seq, qual) by any solid k-mers."""
+    parts = (f"reads as ({reads})", _HIST, _PAIRED, _CUTS, PROFILE, f"solid as materialized ({solid})", _NORM,
+             _FLAGS, *CORRECTION)
+    return "with recursive " + ",".join(parts) + "\n" + select
+
+
+def _corrected(select: str) -> str:
+    return _q(select, *_PROFILED, *CORRECTION, recursive=True)
+
+
+ORACLES |= {
+    "adjusted_regions": _q("select read_id, by_region::int by_region, regions from mode", *_PROFILED, REGIONS),
+    "correct_reads": _corrected(
+        "select read_id, seq, qual, n_edits, trim5, trim3, rejected::int rejected from cor"),
+    "correction_stats": _corrected(
+        """select coalesce(sum(n_edits) filter (not rejected), 0)::bigint corrected_errors,
+        count(*) filter (not rejected and (n_edits > 0 or trim5 + trim3 > 0)) corrected_reads,
+        coalesce(sum(trim5 + trim3), 0)::bigint trimmed_bases, count(*) n_reads from cor"""),
+    "corrected_fastq": _corrected(
+        """select mate, read_id, '@r' || pair_id || '/' || mate || chr(10) || seq || chr(10) || '+' || chr(10) || qual record
+        from cor"""),
+}
