@@ -131,7 +131,10 @@ def write_shard(path: str, rows, width: int) -> tuple[int, int]:
     doc_ids, bounds, nulls = [], [0], 0
     with shards.writer(path) as f:
         for doc_id, ids in rows:
-            f.write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+            whole = np.frombuffer(ids, "<u4")
+            if width == 2 and len(whole) and whole.max() >= 1 << 16:
+                raise ValueError(f"id {whole.max()} does not fit 2 bytes: width=4 is needed")
+            f.write(whole.astype(kind).tobytes())
             bounds.append(bounds[-1] + len(ids) // 4)
             if doc_id is None:
                 nulls += 1

@@ -116,3 +116,13 @@ def test_token_files(spark, whole, monkeypatch):
         at += len(ids)
     got = token_files.read_token_files(token_files.write_token_files(df, WORDS))
     assert rows_of(got) == sorted(expected, key=str)
+
+
+def test_ids_that_do_not_fit_are_refused(tmp_path):
+    rows = [(1, np.array([5, 70_000], "<u4").tobytes())]
+    with pytest.raises(ValueError, match="70000"):
+        token_files.write_shard(str(tmp_path / "a"), rows, 2)
+    token_files.write_shard(str(tmp_path / "b"), rows, 4)
+    with open(tmp_path / "b", "rb") as f:
+        data = f.read()
+    assert np.frombuffer(data[:8], "<u4").tolist() == [5, 70_000]
