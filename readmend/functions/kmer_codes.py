@@ -87,6 +87,72 @@ def canonical_windows(codes: np.ndarray, offsets: np.ndarray, k: int):
     return np.minimum(forward, reverse), start, counts, clean
 
 
+def word_bases(k: int) -> list[int]:
+    """Bases in each word of a k-mer that is kept as several words, first bases first."""
+    return [PACKED_MAX_K] * ((k - 1) // PACKED_MAX_K) + [(k - 1) % PACKED_MAX_K + 1]
+
+
+def clean_starts(codes: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """Where in `codes` a window without odd characters begins, of all strings laid end to end."""
+    bad_before = np.concatenate(([0], np.cumsum(codes > 3)))
+    counts = np.maximum(np.diff(offsets) - k + 1, 0)
+    first = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+    start = np.arange(len(first)) + first
+    return start[bad_before[start + k] == bad_before[start]]
+
+
+def canonical_words(codes: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """Canonical k-mers that begin at `start`, a row of words each; the order of rows, word by
+    word, is base order at every k."""
+    widths = word_bases(k)
+    if not len(start):
+        return np.zeros((0, len(widths)), np.uint64)
+    codes = np.where(codes > 3, 0, codes).astype(np.uint8)
+    back = (3 - codes)[::-1]
+    rolled = {w: (rolling(codes, w), rolling(back, w)) for w in set(widths)}
+    begins = np.cumsum([0, *widths[:-1]])
+    there = np.stack([rolled[w][0][start + b] for w, b in zip(widths, begins)], 1)
+    end = len(codes) - k - start  # where the window begins in `back`
+    other = np.stack([rolled[w][1][end + b] for w, b in zip(widths, begins)], 1)
+    less, same = np.zeros(len(start), bool), np.ones(len(start), bool)
+    for a, b in zip(there.T, other.T):
+        less |= same & (b < a)
+        same &= a == b
+    there[less] = other[less]
+    return there
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(words), np.uint64)
+    for word in words.T:
+        h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def counted(words: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of `words` once with its sum of `n` (or how often it comes). Several words are sorted
+    by a hash of them; where two different rows share one, by all their words."""
+    if not len(words):
+        return words, np.zeros(0, np.int64)
+    if n is None and words.shape[1] == 1:
+        words = np.sort(words, axis=0)
+        new = words[1:, 0] != words[:-1, 0]
+    else:
+        keys = words[:, 0] if words.shape[1] == 1 else _mixed(words)
+        order = np.argsort(keys)
+        keys, ordered = keys[order], words[order]
+        new = (ordered[1:] != ordered[:-1]).any(axis=1)
+        if (new & (keys[1:] == keys[:-1])).any():
+            order = np.lexsort(words.T[::-1])
+            ordered = words[order]
+            new = (ordered[1:] != ordered[:-1]).any(axis=1)
+        words, n = ordered, None if n is None else n[order]
+    first = np.flatnonzero(np.concatenate(([True], new)))
+    sums = np.diff(np.append(first, len(words))) if n is None else np.add.reduceat(n, first)
+    return words[first], sums.astype(np.int64)
+
+
 def to_bytes(values: np.ndarray, k: int) -> np.ndarray:
     """Packed k-mers to an (n, k) matrix of base characters."""
     out = np.empty((len(values), k), dtype=np.uint8)

@@ -3,41 +3,41 @@
 Neighbouring k-mers of a read mostly have the same minimizer, the M-mer of least hash in
 them, taken on the strand where it is smaller. A run of them moves as its bases, 2 bits each,
 to the task of the minimizer's bucket, and not as one row a k-mer. Equal k-mers have equal
-minimizers, so a bucket counts its k-mers by itself, by sorting.
+minimizers, so a bucket counts its k-mers by itself, by sorting. A k-mer is a row of words of
+up to 31 bases, so k has no limit.
 
-A bucket that a batch of reads fills far beyond its share (an adapter, poly-A) moves as
-k-mers with counts, so the copies collapse before the shuffle. A bucket that fills far more
-than its share in the first reads of all partitions is not left to one task: its k-mers are
-dealt over all tasks by a hash of the k-mer. That look decides only where k-mers are counted.
+A bucket that fills far more than its share of a batch of reads (an adapter, poly-A, a frequent
+minimizer) is dealt: its k-mers of that batch are counted at once and go to all tasks by a hash
+of the k-mer, and a mark tells the bucket's own task that its counts are not all. Each batch
+decides for itself, and every other batch has at most `_HOT_TIMES` the mean in one bucket.
 
-A task holds about `_MOST_KMERS` counts. A bucket with more writes them, sorted, to the
-executor's local folder and merges them a range of k-mers at a time.
+A task holds about `_MOST_WORDS` words of counts. A bucket with more, a marked one and what was
+dealt give counts in parts; Spark's aggregate by k-mer, which spills by itself, adds the parts up.
+A whole bucket leaves out its k-mers below the least count before that shuffle.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readmend.config import PACKED_MAX_K
 from readmend.functions import kmer_codes as kc
+from readmend.functions.bases import unpack_kmer
 
 M = 9
 BUCKETS_A_PARTITION = 8
 #: Windows of one run, so that a byte holds the number.
 _LONGEST = 200
 _BATCH_BASES = 4 << 20
-_CHUNK_WINDOWS = 4 << 20
-#: Share of a batch's windows above which a bucket is counted before the shuffle.
-_HEAVY_SHARE = 1 / 8
-#: Counts a task holds at most, besides those of one chunk.
-_MOST_KMERS = 4 << 20
-#: Reads of each partition that are looked at for buckets of many times the mean, of at least so many windows.
-_FIRST_READS, _HOT_TIMES, _HOT_WINDOWS = 1000, 8, 4096
+#: Bytes of runs, times 16, that are counted together.
+_CHUNK_WORDS = 4 << 20
+#: A bucket of so many times the mean windows of a batch, and of at least so many, is dealt.
+_HOT_TIMES, _HOT_WINDOWS = 8, 4096
+#: Words of counts that a task holds at most, besides those of one chunk.
+_MOST_WORDS = 4 << 20
 _MOVED = "bucket int, lengths binary, bases binary, kmers binary, counts binary"
 _NAMES = [c.split()[0] for c in _MOVED.split(", ")]
 
@@ -63,12 +63,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def find_runs(codes: np.ndarray, offsets: np.ndarray, k: int):
-    """(minimizer hash, first base, windows) of every run, and canonical k-mers, run number of each."""
-    values, start, _, clean = kc.canonical_windows(codes, offsets, k)
-    values, start = values[clean], start[clean]
-    if not len(values):
+    """(minimizer hash, first base, windows) of every run."""
+    start = kc.clean_starts(codes, offsets, k)
+    if not len(start):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, values, none
+        return none.astype(np.uint64), none, none
     small, place, _, _ = kc.canonical_windows(codes, offsets, M)
     order = np.full(len(codes), np.iinfo(np.uint64).max, np.uint64)
     order[place] = _order(small)
@@ -78,8 +77,7 @@ def find_runs(codes: np.ndarray, offsets: np.ndarray, k: int):
     at = np.arange(len(start))
     new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % _LONGEST == 0
     first = np.flatnonzero(new)
-    return (least[first], start[first], np.diff(np.append(first, len(start))), values,
-            np.cumsum(new) - 1)
+    return least[first], start[first], np.diff(np.append(first, len(start)))
 
 
 def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -105,9 +103,21 @@ def unpack_runs(data: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.nda
             np.concatenate(([0], np.cumsum(bases))))
 
 
-def _rows_of(codes, offsets, k, buckets, hot=(), parts=1):
-    """`hot` buckets go to those from `buckets` on, of which there are `parts`, by a hash of the k-mer."""
-    hashes, first, windows, values, run = find_runs(codes, offsets, k)
+def _edges(sorted_ids: np.ndarray) -> np.ndarray:
+    """Where each id begins, and the end."""
+    return np.flatnonzero(np.diff(np.append(np.append(-1, sorted_ids), -1)))
+
+
+def _part_of(kmers: np.ndarray, parts: int) -> np.ndarray:
+    mixed = np.zeros(len(kmers), np.uint64)
+    for word in kmers.T:
+        mixed = _order(mixed ^ word)
+    return (mixed % np.uint64(parts)).astype(np.int64)
+
+
+def _rows_of(codes, offsets, k, buckets, parts):
+    """Rows of `_MOVED`. Dealt k-mers go to the buckets from `buckets` on, of which there are `parts`."""
+    hashes, first, windows = find_runs(codes, offsets, k)
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     cols: list[list] = [[] for _ in _NAMES]
 
@@ -115,27 +125,24 @@ def _rows_of(codes, offsets, k, buckets, hot=(), parts=1):
         for c, v in zip(cols, row):
             c.append(v)
 
-    dealt = np.isin(bucket, np.asarray(hot, np.int64))
-    if dealt.any():
-        kmers, n = np.unique(values[dealt[run]], return_counts=True)
-        part = (_order(kmers) % np.uint64(parts)).astype(np.int64)
+    hot = np.bincount(bucket, windows, buckets) > max(_HOT_TIMES * windows.sum() / buckets, _HOT_WINDOWS)
+    if hot.any():
+        for b in np.flatnonzero(hot):
+            add(int(b), None, None, None, None)
+        dealt = hot[bucket]
+        kmers, n = kc.counted(kc.canonical_words(codes, _spans(first[dealt], windows[dealt]), k))
+        part = _part_of(kmers, parts)
         by_part = np.argsort(part, kind="stable")
-        kmers, n, part = kmers[by_part], n[by_part].astype(np.int64), part[by_part]
-        edges = np.flatnonzero(np.diff(np.append(np.append(-1, part), -1)))
+        kmers, n, part = kmers[by_part], n[by_part], part[by_part]
+        edges = _edges(part)
         for a, b in zip(edges, edges[1:]):
             add(buckets + int(part[a]), None, None, kmers[a:b].tobytes(), n[a:b].tobytes())
-    sizes = np.bincount(bucket, windows * ~dealt, buckets)
-    heavy = sizes > max(_HEAVY_SHARE * windows.sum(), 4096)
-    for b in np.flatnonzero(heavy):
-        kmers, n = np.unique(values[bucket[run] == b], return_counts=True)
-        add(int(b), None, None, kmers.tobytes(), n.astype(np.int64).tobytes())
-    light = np.flatnonzero(~heavy[bucket] & ~dealt)
+    light = np.flatnonzero(~hot[bucket])
     light = light[np.argsort(bucket[light], kind="stable")]
     bases = windows[light] + k - 1
     packed = pack_runs(codes, first[light], bases)
-    bytes_of = -(-bases // 4)
-    edges = np.flatnonzero(np.diff(np.append(np.append(-1, bucket[light]), -1)))
-    ends = np.concatenate(([0], np.cumsum(bytes_of)))
+    ends = np.concatenate(([0], np.cumsum(-(-bases // 4))))
+    edges = _edges(bucket[light])
     for a, b in zip(edges, edges[1:]):
         add(int(bucket[light[a]]), windows[light[a:b]].astype(np.uint8).tobytes(),
             packed[ends[a]:ends[b]].tobytes(), None, None)
@@ -143,137 +150,69 @@ def _rows_of(codes, offsets, k, buckets, hot=(), parts=1):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], _NAMES)
 
 
-def hot_buckets(reads: DataFrame, k: int, buckets: int, seq: str = "seq") -> list[int]:
-    """Buckets that hold `_HOT_TIMES` the mean of the windows in the first reads of all partitions."""
-    most = _FIRST_READS
-
-    def sizes(batches):
-        total, left = np.zeros(buckets), most
-        for batch in batches:
-            hashes, _, windows, _, _ = find_runs(*kc.string_codes(batch.column(0).slice(0, left)), k)
-            total += np.bincount((hashes % np.uint64(buckets)).astype(np.int64), windows, buckets)
-            left -= batch.num_rows
-            if left <= 0:
-                break  # the other reads are not made
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(total[used].astype(np.int64))], ["bucket", "n"])
-
-    found = (reads.select(F.col(seq)).mapInArrow(sizes, "bucket int, n bigint")
-             .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
-    least = max(_HOT_TIMES * sum(r["n"] for r in found) / buckets, _HOT_WINDOWS)
-    return sorted(r["bucket"] for r in found if r["n"] > least)
-
-
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Each k-mer of (kmers, n) once, ascending."""
-    kmers, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = np.zeros(len(kmers), np.int64)
-    np.add.at(sums, where, np.concatenate([p[1] for p in parts]))
-    return kmers, sums
-
-
-class _Spilled:
-    """Ascending (kmers, n) in a file without a name in the executor's local folder."""
-
-    def __init__(self, kmers: np.ndarray, n: np.ndarray):
-        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
-        self.file = tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
-        kmers.astype(np.uint64).tofile(self.file)
-        n.astype(np.int64).tofile(self.file)
-        self.at, self.size = 0, len(kmers)
-        self.kmers, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def fill(self, most: int):
-        """Have rows at hand, if any are left."""
-        if not len(self.kmers) and self.at < self.size:
-            most = min(most, self.size - self.at)
-            self.file.seek(8 * self.at)
-            self.kmers = np.fromfile(self.file, np.uint64, most)
-            self.file.seek(8 * (self.size + self.at))
-            self.n = np.fromfile(self.file, np.int64, most)
-            self.at += most
-            if self.at == self.size:
-                self.file.close()
-
-    def up_to(self, kmer) -> tuple[np.ndarray, np.ndarray]:
-        cut = np.searchsorted(self.kmers, kmer, side="right")
-        out = self.kmers[:cut], self.n[:cut]
-        self.kmers, self.n = self.kmers[cut:], self.n[cut:]
-        return out
+def counter(k: int, min_count: int, buckets: int):
+    """Counts rows of `_MOVED` that come one bucket after the other, in batches of the k-mer's words
+    and `n`. A k-mer may come again, in a later batch or from another task, unless all of it was in one."""
+    width = len(kc.word_bases(k))
+    most, chunk = _MOST_WORDS // width, _CHUNK_WORDS // width
+    names = [*(f"w{i}" for i in range(width)), "n"]
 
+    def of_runs(rows):
+        bases = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).astype(np.int64) + k - 1
+        codes, offsets = unpack_runs(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), bases)
+        return kc.counted(kc.canonical_words(codes, kc.clean_starts(codes, offsets, k), k))
 
-def _merged(spilled: list[_Spilled], most: int):
-    """(kmers, n) of all, ascending, about `most` rows at a time."""
-    while True:
-        for s in spilled:
-            s.fill(max(1, most // len(spilled)))
-        spilled = [s for s in spilled if len(s.kmers)]
-        if not spilled:
-            return
-        last = min(s.kmers[-1] for s in spilled)
-        yield _added([s.up_to(last) for s in spilled])
+    def of_dealt(rows):
+        kmers = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, width)
+        return kc.counted(kmers, np.frombuffer(b"".join(r[3] for r in rows), np.int64))
 
-
-def counter(k: int, min_count: int):
-    """Counts the rows of buckets, which come one bucket after the other. No batch it gives has
-    more than about `_MOST_KMERS` k-mers and those of one chunk."""
-    most, chunk = _MOST_KMERS, _CHUNK_WINDOWS
+    def batch_of(kmers, n, at_least):
+        if at_least > 1:
+            kmers, n = kmers[n >= at_least], n[n >= at_least]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in kmers.T), pa.array(n)], names)
 
     def count(batches):
-        total, spilled = None, []  # (kmers, n) of the bucket at hand, and those that were too many
-        runs, windows, bucket = [], 0, None
+        held, rows, size, bucket, whole = None, [], 0, None, True
 
         def merge():
-            nonlocal total, runs, windows
-            parts = [total] if total is not None else []
-            packed = [r for r in runs if r[0] is not None]
-            if packed:
-                bases = np.frombuffer(b"".join(r[0] for r in packed), np.uint8).astype(np.int64) + k - 1
-                codes, offsets = unpack_runs(np.frombuffer(b"".join(r[1] for r in packed), np.uint8), bases)
-                parts.append(np.unique(kc.canonical_windows(codes, offsets, k)[0], return_counts=True))
-            parts += [(np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.int64))
-                      for r in runs if r[2] is not None]
-            runs, windows = [], 0
-            if parts:
-                total = parts[0] if len(parts) == 1 and packed else _added(parts)
-            if len(total[0]) > most:
-                spilled.append(_Spilled(*total))
-                total = None
-
-        def results():
-            nonlocal total, spilled
-            merge_of = spilled and [*spilled, *([_Spilled(*total)] if total is not None else [])]
-            for kmers, n in _merged(merge_of, most) if merge_of else [total]:
-                often = n >= min_count
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kmers[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["kmer", "n"])
-            total, spilled = None, []
+            nonlocal held, rows, size
+            if rows:
+                new = of_runs(rows) if rows[0][0] is not None else of_dealt(rows)
+                held = new if held is None else kc.counted(
+                    np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+            rows, size = [], 0
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != bucket and bucket is not None:
-                    if runs:
-                        merge()
-                    yield from results()
-                bucket = row[0]
-                runs.append(row[1:])
-                windows += 4 * len(row[2] or row[3])
-                if windows > chunk:
+                if row[0] != bucket:
+                    merge()
+                    if held is not None:
+                        yield batch_of(*held, min_count if whole else 1)
+                    held, bucket, whole = None, row[0], row[0] < buckets
+                if row[1] is None and row[3] is None:
+                    whole = False  # some of the bucket was dealt
+                    continue
+                rows.append(row[1:])
+                size += 4 * len(row[2]) if row[2] is not None else len(row[4]) // 8
+                if size > chunk:
                     merge()
-        if bucket is not None:
-            if runs:
-                merge()
-            yield from results()
+                    if len(held[0]) > most:
+                        yield batch_of(*held, 1)
+                        held, whole = None, False
+        merge()
+        if held is not None:
+            yield batch_of(*held, min_count if whole else 1)
 
     return count
 
 
 def count_by_runs(reads: DataFrame, k: int, min_count: int, seq: str = "seq") -> DataFrame:
-    """(kmer bigint, n bigint) of packed canonical k-mers seen at least `min_count` times."""
+    """(kmer, n bigint) of canonical k-mers seen at least `min_count` times; packed bigints up to
+    31 bases, strings beyond. What a batch deals depends on its reads, so that a task that is run
+    again must get its reads in the same order: reads that were shuffled are sorted first."""
     partitions = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS_A_PARTITION * partitions
-    hot = hot_buckets(reads, k, buckets, seq)
 
     def cut(batches):
         held, size = [], 0
@@ -282,14 +221,22 @@ def count_by_runs(reads: DataFrame, k: int, min_count: int, seq: str = "seq") ->
             held.append((codes, offsets))
             size += len(codes)
             if size >= _BATCH_BASES:
-                yield _rows_of(*_joined(held), k, buckets, hot, partitions)
+                yield _rows_of(*_joined(held), k, buckets, partitions)
                 held, size = [], 0
         if held:
-            yield _rows_of(*_joined(held), k, buckets, hot, partitions)
+            yield _rows_of(*_joined(held), k, buckets, partitions)
 
+    widths = kc.word_bases(k)
+    words = [f"w{i}" for i in range(len(widths))]
     moved = (reads.select(F.col(seq)).mapInArrow(cut, _MOVED)
              .repartition(partitions, "bucket").sortWithinPartitions("bucket"))
-    return moved.mapInArrow(counter(k, min_count), "kmer bigint, n bigint")
+    parts = moved.mapInArrow(counter(k, min_count, buckets),
+                             ", ".join(f"{w} bigint" for w in words) + ", n bigint")
+    counts = parts.groupBy(*words).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    if k <= PACKED_MAX_K:
+        return counts.select(F.col(words[0]).alias("kmer"), "n")
+    return counts.select(
+        F.concat(*(unpack_kmer(F.col(w), size) for w, size in zip(words, widths))).alias("kmer"), "n")
 
 
 def _joined(held):

@@ -6,21 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readmend import config as C
-from readmend.functions.kmers import kmer_rows
 from readmend.operators.runs import count_by_runs
 
 
 def kmer_counts(reads: DataFrame, k: int, min_count: int = C.MIN_COUNT) -> DataFrame:
     """(kmer, n) of canonical k-mers seen at least `min_count` times.
 
-    Packed k-mers are counted by minimizer runs. Longer ones are strings; a hot
-    one (adapter, poly-A) collapses in the map-side aggregate, so no task of the
-    shuffle receives more rows of it than there are map tasks.
+    Counted by minimizer runs at every k; k-mers above 31 bases are strings in the result.
     """
-    if k <= C.PACKED_MAX_K:
-        return count_by_runs(reads, k, min_count)
-    counts = kmer_rows(reads, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") >= min_count)
+    return count_by_runs(reads, k, min_count)
 
 
 def kmer_histogram(counts: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def canonical_kmers(spark, sf):
 
 
 def long_kmer_counts(spark, sf):
-    """k = 33 takes the string route."""
+    """k = 33 takes two words a k-mer."""
     return spectrum.kmer_counts(reads(spark, sf), 33)
 
 

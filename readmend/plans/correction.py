@@ -65,7 +65,7 @@ def spread(reads: DataFrame, paths: list[str]) -> DataFrame:
         return reads
     n = max(reads.sparkSession.sparkContext.defaultParallelism,
             int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return reads.repartition(n, "file_id", "read_idx")
+    return reads.repartition(n, "file_id", "read_idx").sortWithinPartitions("file_id", "read_idx")
 
 
 def build_model(reads: DataFrame, config: C.RunConfig, prefix: str, write_report: bool = True

@@ -28,7 +28,7 @@ def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:
-        docs = docs.repartition(cores)
+        docs = docs.repartition(cores).sortWithinPartitions("doc_id", "text")
     return docs
 
 
