@@ -9,8 +9,13 @@ A step sums over (source, size, count), the table of distinct sizes, and joins t
 one row a source; nothing is collected but one number, the largest miss.
 
 Rates become whole copies in slices of about `SLICE_DOCS` documents of a source, largest
-first: what rounding leaves over is carried to the next document, so a slice ends within
-half of its smallest document of its share of the target.
+first: what rounding leaves over is carried to the next document. Documents of more than 1 /
+`GIANTS` of their source, so fewer than `GIANTS` a source, are rounded before, to counts that
+leave the others a sum they can reach. What a source then lacks or has too much of (left over in
+slices, by giants, or by rates that `STEPS` steps did not bring to `TOLERANCE`) is dealt over its
+slices by what they can give or take. So a slice ends within half of its smallest document of what
+it was dealt, and a source misses its target by more than these only where giants leave no other
+way: half of the smallest giant at most, or what all other documents at 0 or `MAX_COPIES` leave.
 
 Weights go by the rank of the source name, in code point order, null last. A source's target
 stops at MAX_COPIES times its size; the excess goes to the others by weight. Documents
@@ -33,9 +38,10 @@ MAX_COPIES = 3
 STEPS = 40
 TOLERANCE = 1e-9
 SLICE_DOCS = 400
+GIANTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
-COPIES = "doc_id long, sid long, size long, copies int, n long"
+COPIES = "doc_id long, sid long, slice long, size long, copies int, n long"
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -129,16 +135,66 @@ def solve_rates(histogram: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select("sid", "tilt", "mean", "full")
 
 
+def _largest_first(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last")
+
+
 def _rounded(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies of one slice, largest documents first."""
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last")
+    """Whole copies of one slice, or of a source's giants (slice -1), largest documents first."""
+    rows = _largest_first(rows)
+    giants = rows["slice"].iloc[0] == -1
     carry, copies = 0.0, []
+    lacking, others = float(rows["target"].iloc[0]), int(rows["source_size"].iloc[0])
     for size, n, rate in zip(rows["size"], rows["n"], rows["rate"]):
-        want = rate * size * n + carry
-        c = min(max(round(want / (size * n)), 0), MAX_COPIES) if size else 0
-        carry = want - c * size * n
+        words = size * n
+        want = rate * words + carry
+        c = min(max(round(want / words), 0), MAX_COPIES) if size else 0
+        if giants:
+            others -= words
+
+            def badness(c):
+                rest = lacking - c * words
+                return max(-rest, rest - MAX_COPIES * others, 0.0), abs(want - c * words), c
+
+            c = min(range(MAX_COPIES + 1), key=badness)
+            lacking -= c * words
+        carry = want - c * words
         copies.append(c)
-    return rows.assign(copies=copies)[["doc_id", "sid", "size", "copies", "n"]]
+    return rows.assign(copies=copies)[["doc_id", "sid", "slice", "size", "copies", "n"]]
+
+
+def _adjusted(rows: pd.DataFrame) -> pd.DataFrame:
+    """The slice with `share` words more (less, if negative), as near as it gets."""
+    rows = _largest_first(rows)
+    left, copies = float(rows["share"].iloc[0]), []
+    for size, n, c in zip(rows["size"], rows["n"], rows["copies"]):
+        more = min(max(round(left / (size * n)), -c), MAX_COPIES - c) if size else 0
+        left -= more * size * n
+        copies.append(c + more)
+    return rows.assign(copies=copies)[["doc_id", "sid", "slice", "size", "copies", "n"]]
+
+
+def whole_copies(rates: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc_id, sid, size, copies, n) for (doc_id, sid, size, n, rate) and (sid, source_size,
+    docs, target)."""
+    words = F.col("size") * F.col("n")
+    slices = F.ceil(F.col("docs") / SLICE_DOCS)
+    cut = rates.join(sources.select("sid", "source_size", "docs", "target"), "sid").withColumn(
+        "slice", F.when(words * GIANTS > F.col("source_size"), F.lit(-1)).otherwise(
+            F.pmod(F.xxhash64("doc_id", "size"), slices)).cast("long")).drop("docs")
+    first = stored(cut.groupBy("sid", "slice").applyInPandas(_rounded, COPIES), "copies")
+    given = (first.groupBy("sid", "slice").agg(
+        F.sum(F.col("copies") * words).alias("taken"), F.sum(words).alias("words")))
+    room = F.when(F.col("slice") >= 0, MAX_COPIES * F.col("words") - F.col("taken"))
+    there = F.when(F.col("slice") >= 0, F.col("taken"))
+    misses = given.groupBy("sid").agg(
+        F.sum("taken").alias("all_taken"), F.sum(room).alias("all_room"), F.sum(there).alias("all_there")
+    ).join(sources.select("sid", "target"), "sid").withColumn("miss", F.col("target") - F.col("all_taken"))
+    part = F.when(F.col("miss") > 0, F.least("miss", "all_room") * room / F.nullif(F.col("all_room"), F.lit(0)))
+    part = part.otherwise(F.greatest(F.col("miss"), -F.col("all_there")) * there / F.nullif(F.col("all_there"), F.lit(0)))
+    shares = given.join(misses, "sid").select("sid", "slice", F.coalesce(part, F.lit(0.0)).alias("share"))
+    return first.join(shares, ["sid", "slice"]).groupBy("sid", "slice").applyInPandas(
+        _adjusted, COPIES).drop("slice")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
@@ -146,18 +202,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[DataFram
     target)."""
     sizes = stored(sized(docs), "sizes")
     sources = stored(with_targets(ranked_sources(sizes), weights), "targets")
-    keyed = sizes.join(sources.select(F.col("source").alias("of"), "sid", "docs"),
+    keyed = sizes.join(sources.select(F.col("source").alias("of"), "sid"),
                        F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
     histogram = stored(keyed.where("size > 0").groupBy("sid", "size").agg(
         F.sum("n").alias("n")), "size-histogram")
     tilts = solve_rates(histogram, sources)
     rate = F.when(F.col("full"), F.lit(float(MAX_COPIES))).otherwise(
         F.least(F.exp(F.col("tilt") * F.col("size") / F.col("mean")), F.lit(float(MAX_COPIES))))
-    rates = keyed.join(tilts, "sid").select(
-        "doc_id", "sid", "size", "n", rate.alias("rate"),
-        F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / SLICE_DOCS)).alias("slice"))
-    copies = rates.groupBy("sid", "slice").applyInPandas(_rounded, COPIES)
-    return copies, sources
+    rates = keyed.join(tilts, "sid").select("doc_id", "sid", "size", "n", rate.alias("rate"))
+    return whole_copies(rates, sources), sources
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

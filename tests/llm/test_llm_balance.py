@@ -67,3 +67,41 @@ def test_odd_rows(spark):
     assert mixed.count() == sum(r.copies for r in rows)
     assert balance.mix_report(df.limit(0)).count() == 0
     assert balance.mixed_documents(df.limit(0)).count() == 0
+
+
+def taken_of(spark, sizes, rate, target):
+    rates = spark.createDataFrame([(i, 0, s, 1, rate) for i, s in enumerate(sizes)],
+                                  "doc_id long, sid long, size long, n long, rate double")
+    sources = spark.createDataFrame([(0, sum(sizes), len(sizes), target)],
+                                    "sid long, source_size long, docs long, target double")
+    rows = balance.whole_copies(rates, sources).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(sizes)))
+    assert all(0 <= r.copies <= 3 and r.size == sizes[r.doc_id] for r in rows)
+    return sum(r.copies * r.size for r in rows)
+
+
+# the bounds: half a small document for each slice of 400, or what is out of reach
+@pytest.mark.parametrize("sizes, rate, target, most", [
+    ([200_000] + [100] * 400, 0.525, 126_000.0, 6_000),       # 0 of it and 3 of all others is the nearest
+    ([200_000] + [100] * 4000, 0.52, 312_000.0, 11 * 50),     # one of it, the others take up the rest
+    ([200_000, 150_000] + [70] * 3000, 1.3, 728_000.0, 8 * 35),
+    ([9_000] * 50 + [100] * 50, 0.51, 232_050.0, 50),         # mostly giants
+    ([100] * 3000, 0.9, 600_000.0, 8 * 50),                   # rates that did not reach the target
+    ([100] * 3000, 1.2, 150_000.0, 8 * 50),
+    ([0, 0], 1.0, 0.0, 0)])
+def test_a_giant_document_does_not_move_its_source_off_target(spark, sizes, rate, target, most):
+    assert abs(taken_of(spark, sizes, rate, target) - target) <= most
+
+
+def test_giant_document_with_clashing_columns(spark):
+    rows = [(i, "w " * 100, "b", i, -1.0, 7) for i in range(300)] + [(999, "w " * 90_000, "b", 5, 2.0, 7)]
+    rows += [(1000 + i, "w " * 50, "a", 5, 2.0, 7) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long, rate double, copies int")
+    report = balance.mix_report(df).collect()
+    sizes = [30_000, 120_000]
+    for source, target in zip("ab", plain_targets(sizes)):
+        taken = sum(r.taken for r in report if r.source == source)
+        assert all(r.target == pytest.approx(target) for r in report if r.source == source)
+        assert abs(taken - target) <= 50
+    mixed = balance.mixed_documents(df)
+    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in report)
