@@ -11,9 +11,9 @@ minimizer) is dealt: its k-mers of that batch are counted at once and go to all
 of the k-mer, and a mark tells the bucket's own task that its counts are not all. Each batch
 decides for itself, and every other batch has at most `_HOT_TIMES` the mean in one bucket.
 
-A task holds about `_MOST_WORDS` words of counts. A bucket with more, a marked one and what was
-dealt give counts in parts; Spark's aggregate by k-mer, which spills by itself, adds the parts up.
-A whole bucket leaves out its k-mers below the least count before that shuffle.
+A bucket without a mark and with at most `_MOST_WORDS` words is whole: one task counts it and
+gives final counts. The others and what was dealt are counted so many words at a time; Spark's
+aggregate by k-mer, which spills by itself, adds these parts up. Both ways read one shuffle.
 """
 
 from __future__ import annotations
@@ -28,15 +28,13 @@ from readmend.functions import kmer_codes as kc
 from readmend.functions.bases import unpack_kmer
 
 M = 9
-BUCKETS_A_PARTITION = 8
+BUCKETS_A_PARTITION = 32
 #: Windows of one run, so that a byte holds the number.
 _LONGEST = 200
 _BATCH_BASES = 4 << 20
-#: Bytes of runs, times 16, that are counted together.
-_CHUNK_WORDS = 4 << 20
 #: A bucket of so many times the mean windows of a batch, and of at least so many, is dealt.
 _HOT_TIMES, _HOT_WINDOWS = 8, 4096
-#: Words of counts that a task holds at most, besides those of one chunk.
+#: Words of k-mers that are counted together.
 _MOST_WORDS = 4 << 20
 _MOVED = "bucket int, lengths binary, bases binary, kmers binary, counts binary"
 _NAMES = [c.split()[0] for c in _MOVED.split(", ")]
@@ -150,11 +148,11 @@ def _rows_of(codes, offsets, k, buckets, parts):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], _NAMES)
 
 
-def counter(k: int, min_count: int, buckets: int):
+def counter(k: int, buckets: int, whole: bool):
     """Counts rows of `_MOVED` that come one bucket after the other, in batches of the k-mer's words
-    and `n`. A k-mer may come again, in a later batch or from another task, unless all of it was in one."""
+    and `n`: final counts of the whole buckets only, or else the parts of all others."""
     width = len(kc.word_bases(k))
-    most, chunk = _MOST_WORDS // width, _CHUNK_WORDS // width
+    most = _MOST_WORDS // width
     names = [*(f"w{i}" for i in range(width)), "n"]
 
     def of_runs(rows):
@@ -166,43 +164,33 @@ def counter(k: int, min_count: int, buckets: int):
         kmers = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, width)
         return kc.counted(kmers, np.frombuffer(b"".join(r[3] for r in rows), np.int64))
 
-    def batch_of(kmers, n, at_least):
-        if at_least > 1:
-            kmers, n = kmers[n >= at_least], n[n >= at_least]
+    def batch_of(rows):
+        kmers, n = of_runs(rows) if rows[0][0] is not None else of_dealt(rows)
         return pa.RecordBatch.from_arrays(
             [*(pa.array(np.ascontiguousarray(w).view(np.int64)) for w in kmers.T), pa.array(n)], names)
 
     def count(batches):
-        held, rows, size, bucket, whole = None, [], 0, None, True
-
-        def merge():
-            nonlocal held, rows, size
-            if rows:
-                new = of_runs(rows) if rows[0][0] is not None else of_dealt(rows)
-                held = new if held is None else kc.counted(
-                    np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
-            rows, size = [], 0
-
+        rows, size, bucket, parted = [], 0, None, False
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != bucket:
-                    merge()
-                    if held is not None:
-                        yield batch_of(*held, min_count if whole else 1)
-                    held, bucket, whole = None, row[0], row[0] < buckets
+                    if rows and parted != whole:
+                        yield batch_of(rows)
+                    rows, size, bucket, parted = [], 0, row[0], row[0] >= buckets
                 if row[1] is None and row[3] is None:
-                    whole = False  # some of the bucket was dealt
+                    parted = True  # some of the bucket was dealt
                     continue
-                rows.append(row[1:])
-                size += 4 * len(row[2]) if row[2] is not None else len(row[4]) // 8
-                if size > chunk:
-                    merge()
-                    if len(held[0]) > most:
-                        yield batch_of(*held, 1)
-                        held, whole = None, False
-        merge()
-        if held is not None:
-            yield batch_of(*held, min_count if whole else 1)
+                more = (sum(row[1]) if row[1] is not None else len(row[4]) // 8)
+                if rows and size + more > most:
+                    parted = True
+                    if not whole:
+                        yield batch_of(rows)
+                    rows, size = [], 0
+                if not (whole and parted):
+                    rows.append(row[1:])
+                    size += more
+        if rows and parted != whole:
+            yield batch_of(rows)
 
     return count
 
@@ -230,9 +218,9 @@ def count_by_runs(reads: DataFrame, k: int, min_count: int, seq: str = "seq") ->
     words = [f"w{i}" for i in range(len(widths))]
     moved = (reads.select(F.col(seq)).mapInArrow(cut, _MOVED)
              .repartition(partitions, "bucket").sortWithinPartitions("bucket"))
-    parts = moved.mapInArrow(counter(k, min_count, buckets),
-                             ", ".join(f"{w} bigint" for w in words) + ", n bigint")
-    counts = parts.groupBy(*words).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    schema = ", ".join(f"{w} bigint" for w in words) + ", n bigint"
+    parts = moved.mapInArrow(counter(k, buckets, False), schema).groupBy(*words).agg(F.sum("n").alias("n"))
+    counts = moved.mapInArrow(counter(k, buckets, True), schema).unionAll(parts).where(F.col("n") >= min_count)
     if k <= PACKED_MAX_K:
         return counts.select(F.col(words[0]).alias("kmer"), "n")
     return counts.select(

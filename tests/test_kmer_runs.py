@@ -43,8 +43,7 @@ def plain(reads, k):
 def test_counts_equal_a_plain_count(spark, monkeypatch, k, at_least, small):
     if small:  # many batches, chunks, parts and hot buckets
         monkeypatch.setattr(runs, "_BATCH_BASES", 500)
-        monkeypatch.setattr(runs, "_CHUNK_WORDS", 300)
-        monkeypatch.setattr(runs, "_MOST_WORDS", 200)
+        monkeypatch.setattr(runs, "_MOST_WORDS", 300)
         monkeypatch.setattr(runs, "_HOT_WINDOWS", 100)
         monkeypatch.setattr(runs, "_LONGEST", 5)
     reads = reads_of()
@@ -136,17 +135,18 @@ def reads_with_a_hot_minimizer(n, k=21, seed=5):
 
 def test_a_bucket_of_many_kmers_is_not_held_whole(spark, monkeypatch):
     monkeypatch.setattr(runs, "_MOST_WORDS", 500)
-    monkeypatch.setattr(runs, "_CHUNK_WORDS", 300)
     reads = reads_with_a_hot_minimizer(600)
     reads += reads[:200]
     rows = pa.Table.from_batches(
         [runs._rows_of(*kc.string_codes(pa.array(reads[i:i + 20])), 21, 64, 8) for i in range(0, len(reads), 20)])
     rows = rows.sort_by("bucket").to_batches(max_chunksize=4)
     found, sizes = Counter(), []
-    for batch in runs.counter(21, 1, 64)(rows):
-        sizes.append(batch.num_rows)
-        for kmer, n in zip(*(c.to_pylist() for c in batch.columns)):
-            found[kmer] += n
+    for whole in (False, True):
+        for batch in runs.counter(21, 64, whole)(rows):
+            sizes.append(batch.num_rows)
+            for kmer, n in zip(*(c.to_pylist() for c in batch.columns)):
+                assert not (whole and kmer in found)
+                found[kmer] += n
     assert max(sizes) < 2000 < len(found) and sorted(found.values()) == sorted(plain(reads, 21).values())
     df = spark.createDataFrame([(s,) for s in reads], "seq string").repartition(3)
     same_counts(df, reads, 21, 2)
