@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,8 +54,15 @@ def quality_values(qual: Column, offset: int) -> Column:
 
 
 def unpack_kmer(packed: Column, k: int) -> Column:
-    """2-bit packed bigint back to its base string."""
-    return F.translate(F.lpad(F.conv(packed.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    """2-bit packed bigint back to its base string, up to four bases at a look-up."""
+    pieces, left = [], k
+    while left:
+        size = left % 4 or 4
+        left -= size
+        words = F.array(*(F.lit("".join(w)) for w in product("ACGT", repeat=size)))
+        digits = F.shiftrightunsigned(packed, 2 * left).bitwiseAND(F.lit(4**size - 1))
+        pieces.append(F.get(words, digits.cast("int")))
+    return F.concat(*pieces)
 
 
 def pack_kmer(kmer: Column) -> Column:

@@ -11,16 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readmend.functions.bases import reverse_complement
-
 # --- fixed values -----------------------------------------------------------
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LETTER_BASES = "ACGTACGTACGTACGTACGTACgTAN"
 LETTER_QUALITIES = "J4JJJ@=JJ+.JDJJ7&JJJF1C(:#"
 READ_LETTERS = 100
 STRIDE = 50
-PAIRS_PER_TEXT = 1000000          # pair_id = doc_id * this + j
+PAIRS_PER_TEXT = 100000000        # pair_id = doc_id * this + j; no text of 2 GiB has more
 # -----------------------------------------------------------------------------
+_OTHER_STRAND = LETTER_BASES.upper().translate(str.maketrans("ACGT", "TGCA"))
 
 
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,41 +35,40 @@ def read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, seq1, qual1, seq2, qual2; no shuffle but the spreading."""
     letters = load_documents(spark, sf_dir).select(
         "doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
+    # the whole text is translated once, and bytes are cut without walking the text
+    spelled = letters.where(F.length("t") > 0).select(
+        "doc_id", F.length("t").alias("n"),
+        F.translate("t", LETTERS, LETTER_BASES).cast("binary").alias("bases"),
+        F.translate("t", LETTERS, _OTHER_STRAND).cast("binary").alias("other"),
+        F.translate("t", LETTERS, LETTER_QUALITIES).cast("binary").alias("quals"))
     windows = (
-        letters.where(F.length("t") > 0)
-        .select("doc_id", "t", F.explode(
-            F.expr(f"sequence(0, (length(t) - 1) div {READ_LETTERS})")).alias("j"))
-        .select(
-            (F.col("doc_id") * PAIRS_PER_TEXT + F.col("j")).cast("bigint").alias("pair_id"),
-            F.expr(f"substring(t, j * {READ_LETTERS} + 1, {READ_LETTERS})").alias("w1"),
-            F.expr(f"substring(t, j * {READ_LETTERS} + {STRIDE + 1}, {READ_LETTERS})").alias("w2"))
-        .select("pair_id", "w1",
-                F.when(F.col("w2") == "", F.col("w1")).otherwise(F.col("w2")).alias("w2"))
-    )
-
-    def bases(w):
-        return F.translate(w, LETTERS, LETTER_BASES)
+        spelled.withColumn("j", F.explode(F.expr(f"sequence(0, (n - 1) div {READ_LETTERS})")))
+        .withColumn("at", F.col("j") * READ_LETTERS + 1)
+        .withColumn("at2", F.when(F.col("at") + STRIDE <= F.col("n"), F.col("at") + STRIDE)
+                    .otherwise(F.col("at"))))
 
-    def quality(w):
-        return F.translate(w, LETTERS, LETTER_QUALITIES)
+    def window(text, at):
+        return F.expr(f"cast(substring({text}, {at}, {READ_LETTERS}) as string)")
 
     return windows.select(
-        "pair_id",
-        bases("w1").alias("seq1"),
-        F.reverse(quality(F.col("w1"))).alias("qual1"),
-        reverse_complement(F.upper(bases("w2"))).alias("seq2"),
-        quality(F.col("w2")).alias("qual2"),
+        (F.col("doc_id") * PAIRS_PER_TEXT + F.col("j")).cast("bigint").alias("pair_id"),
+        window("bases", "at").alias("seq1"),
+        F.reverse(window("quals", "at")).alias("qual1"),
+        F.reverse(window("other", "at2")).alias("seq2"),
+        window("quals", "at2").alias("qual2"),
     )
 
 
 def mates_to_reads(pairs: DataFrame) -> DataFrame:
     """Pairs to one row per read: read_id, pair_id, mate, seq, qual."""
-    mate = F.explode(F.array(
-        F.struct(F.lit(1).alias("mate"), F.col("seq1").alias("seq"), F.col("qual1").alias("qual")),
-        F.struct(F.lit(2).alias("mate"), F.col("seq2").alias("seq"), F.col("qual2").alias("qual"))))
-    return pairs.select("pair_id", mate.alias("m")).select(
-        (F.col("pair_id") * 2 + F.col("m.mate") - 1).alias("read_id"), "pair_id",
-        "m.mate", "m.seq", "m.qual")
+    both = pairs.withColumn("mate", F.explode(F.array(F.lit(1), F.lit(2))))
+
+    def of_mate(name):  # a column nobody reads is not made
+        return F.when(F.col("mate") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}2")).alias(name)
+
+    return both.select(
+        (F.col("pair_id") * 2 + F.col("mate") - 1).alias("read_id"), "pair_id",
+        "mate", of_mate("seq"), of_mate("qual"))
 
 
 def reads_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
