@@ -34,15 +34,17 @@ def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, seq1, qual1, seq2, qual2; no shuffle but the spreading."""
     letters = load_documents(spark, sf_dir).select(
-        "doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
+        "doc_id", F.regexp_replace(F.lower("text"), "[^a-z]+", "").alias("t"))
     # the whole text is translated once, and bytes are cut without walking the text
-    spelled = letters.where(F.length("t") > 0).select(
+    spelled = letters.select(
         "doc_id", F.length("t").alias("n"),
         F.translate("t", LETTERS, LETTER_BASES).cast("binary").alias("bases"),
         F.translate("t", LETTERS, _OTHER_STRAND).cast("binary").alias("other"),
         F.translate("t", LETTERS, LETTER_QUALITIES).cast("binary").alias("quals"))
+    # no filter on t: pushed below, it would find the letters twice
     windows = (
-        spelled.withColumn("j", F.explode(F.expr(f"sequence(0, (n - 1) div {READ_LETTERS})")))
+        spelled.withColumn("j", F.explode(F.expr(
+            f"if(n > 0, sequence(0L, (n - 1) div {READ_LETTERS}), array())")))
         .withColumn("at", F.col("j") * READ_LETTERS + 1)
         .withColumn("at2", F.when(F.col("at") + STRIDE <= F.col("n"), F.col("at") + STRIDE)
                     .otherwise(F.col("at"))))
