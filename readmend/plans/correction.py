@@ -13,7 +13,7 @@ from readmend.operators import bloom, correct, quality, spectrum
 from readmend.operators.joined import JoinedSearcher
 from readmend.operators.repair import Searcher, ShippedSearcher
 from readmend.sources import files, reports
-from readmend.sources.fastq import DEFAULT_RANGE, read_fastq, write_fastq
+from readmend.sources.fastq import DEFAULT_RANGE, read_by_one_task, read_fastq, write_fastq
 from readmend.sources.package import send_package
 from readmend.sources.readlist import group_prefix
 from readmend.sources.scratch import checkpointed, written
@@ -59,9 +59,9 @@ def profile_reads(reads: DataFrame, config: C.RunConfig
 
 
 def spread(reads: DataFrame, paths: list[str]) -> DataFrame:
-    """A gzip file is read by one task; its reads are dealt over all tasks. They are put
+    """A gzip file without blocks is read by one task; its reads are dealt over all tasks. They are put
     in order again when they are written."""
-    if not any(p.endswith(".gz") for p in paths):
+    if not any(read_by_one_task(p) for p in paths):
         return reads
     n = max(reads.sparkSession.sparkContext.defaultParallelism,
             int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -111,8 +111,8 @@ def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
     group = [files.qualified(spark, p) for p in group]
     prefix = files.qualified(spark, config.prefix)
     load = load and files.qualified(spark, load)
-    both = read_fastq(spark, group, range_bytes).withColumn("mate", F.col("file_id") + 1)
-    profile, hist, counts = profile_reads(both, config)
+    scored = read_fastq(spark, group, range_bytes, ["file_id", "qual"])
+    profile, hist, counts = profile_reads(scored.withColumn("mate", F.col("file_id") + 1), config)
     reports.write_lines(reports.quality_lines(hist, profile.offset), f"{prefix}.histo.qs")
     n_reads = quality.equal_mates(counts) if len(group) == 2 else counts.get(1, 0)
     if load is not None:
@@ -120,7 +120,8 @@ def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
         searcher = filter_searcher(spark, model)
         threshold, n_solid = model.threshold, model.num_kmers
     else:
-        searcher, model, threshold, n_solid = build_model(spread(both, group), config, prefix)
+        bases = read_fastq(spark, group, range_bytes, ["file_id", "read_idx", "seq"])
+        searcher, model, threshold, n_solid = build_model(spread(bases, group), config, prefix)
     report = RunReport(profile, n_reads, threshold, n_solid,
                        model and model.width_bits, model and model.num_hash)
     totals: dict[str, int] = {}
@@ -131,7 +132,7 @@ def correct_group(spark: SparkSession, group: list[str], config: C.RunConfig,
         mark = f".{number}" if len(group) == 2 else ""
         out = f"{prefix}{mark}.corrected.fastq"
         stats = _write_with_stats(done, out, config.gzip,
-                                  path.endswith(".gz") or isinstance(searcher, JoinedSearcher))
+                                  read_by_one_task(path) or isinstance(searcher, JoinedSearcher))
         totals = {k: totals.get(k, 0) + v for k, v in stats.items()}
         report.outputs.append(out)
     report.stats = totals
