@@ -123,7 +123,7 @@ def test_gzip_input_is_spread_and_written_in_order(spark, simulated, tmp_path):
         assert report.n_reads == 300
         out.append(folder_text(report.outputs[0]))
     assert out[0] == out[1] and out[0].splitlines()[::4] == [f"@r{i}" for i in range(300)]
-    scan = spread(read_fastq(spark, f"{tmp_path}/x.fastq.gz"), ["x.fastq.gz"])
+    scan = spread(read_fastq(spark, f"{tmp_path}/x.fastq.gz"), [f"{tmp_path}/x.fastq.gz"])
     assert scan.select(F.spark_partition_id()).distinct().count() > 4
 
 
