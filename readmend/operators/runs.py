@@ -13,8 +13,8 @@ decides for itself, and every other batch has at most `_HOT_TIMES` the mean in o
 
 A bucket without a mark and with at most `_MOST_WORDS` words is whole: one task counts it and
 gives final counts. The others and what was dealt are counted so many words at a time; Spark's
-aggregate by k-mer, which spills by itself, adds these parts up. Spark does not reuse the exchange for
-the two ways: the runs are cut and shuffled twice.
+aggregate by k-mer, which spills by itself, adds these parts up. Both ways read the same exchange,
+one after the other.
 """
 
 from __future__ import annotations
