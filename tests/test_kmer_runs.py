@@ -177,3 +177,74 @@ def test_a_hot_bucket_of_different_kmers_is_dealt_over_tasks(spark, monkeypatch,
     df = spark.createDataFrame([(s,) for s in reads], "seq string").coalesce(2)
     for at_least in (1, 2):
         same_counts(df, reads, k, at_least)
+
+
+def test_buckets_stay_small_with_few_tasks(spark, monkeypatch):
+    """More words than one count holds, in few partitions: no count is shuffled again."""
+    monkeypatch.setattr(runs, "_MOST_WORDS", 4000)
+    rng = random.Random(9)
+    reads = ["".join(rng.choices("ACGT", k=100)) for _ in range(4000)]
+    seen = []
+    counter = runs.counter
+
+    def watched(k, buckets, whole):
+        seen.append(buckets)
+        return counter(k, buckets, whole)
+
+    monkeypatch.setattr(runs, "counter", watched)
+    df = spark.createDataFrame([(s,) for s in reads], "seq string").repartition(2)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        same_counts(df, reads, 21, 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    rows = pa.Table.from_batches([runs._rows_of(*kc.string_codes(pa.array(reads)), 21, seen[0], 1)])
+    assert sum(b.num_rows for b in counter(21, seen[0], False)(rows.to_batches())) == 0
+
+
+@pytest.mark.parametrize("k", [21, 33])
+@pytest.mark.parametrize("most", [150, 1 << 22])
+def test_windows_as_read_and_their_places(spark, monkeypatch, k, most):
+    monkeypatch.setattr(runs, "_MOST_WORDS", most)
+    monkeypatch.setattr(runs, "_BATCH_BASES", 5000)
+    texts = reads_of(120) + ["\u00df" + "ACGTTGCA" * 8, "\U0001f600" + "ACGTTGCAN" * 9, "x" * 50]
+    rows = [(i % 3 if i % 7 else None, s) for i, s in enumerate(texts)]
+    df = spark.createDataFrame(rows, "mate int, seq string").repartition(2)
+    want = {}
+    for mate, s in rows:
+        s = (s or "").upper()
+        for i in range(len(s) - k + 1):
+            n, low, high = want.get((mate, s[i:i + k]), (0, i, i))
+            want[mate, s[i:i + k]] = (n + 1, min(low, i), max(high, i))
+    done = spectrum.window_counts(df, k, "mate")
+    assert [f.dataType.simpleString() for f in done.schema] == ["int", "string", "bigint", "int", "int"]
+    got = done.collect()
+    assert len(got) == len(want) and {(r[0], r[1]): tuple(r[2:]) for r in got} == want
+    if k == 21:  # runs are shuffled, not windows
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "bases" in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("chunk", [300, 1 << 20])
+def test_windows_joined_by_runs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(runs, "_JOINED_WINDOWS", chunk)
+    monkeypatch.setattr(runs, "_BATCH_BASES", 5000)
+    texts = [s for s in reads_of(150) if s and set(s) <= set("ACGT")] + ["", None]
+    rows = [(None if i % 50 == 3 else i // 2, s) for i, s in enumerate(texts)]
+    reads = spark.createDataFrame(rows, "read_id bigint, seq string").repartition(3)
+    known = {w for i, w in enumerate(sorted(plain([s for s in texts[:90] if s], 21))) if i % 3}
+    from readmend.functions.bases import pack_kmer
+    kmers = spark.createDataFrame([(w,) for w in known], "kmer string").select(pack_kmer(F.col("kmer")).alias("kmer"))
+    want = {}
+    for rid, s in rows:
+        for i in range(len(s or "") - 20):
+            w = s[i:i + 21]
+            old = want.get(rid, (0, 0, None))
+            hit = min(w, complement(w)) in known
+            want[rid] = (old[0] + hit, old[1] + (not hit),
+                         old[2] if hit else min(i, old[2] if old[2] is not None else i))
+    got = runs.joined_by_runs(reads, kmers, 21, "read_id").groupBy("read_id").agg(
+        F.sum("n_solid"), F.sum("n_weak"), F.min("first_weak")).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == want
+    none = runs.joined_by_runs(reads, kmers.limit(0), 21, "read_id").agg(F.sum("n_solid"), F.count("first_weak")).first()
+    assert none[0] == 0 and none[1] > 0
