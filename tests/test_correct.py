@@ -130,3 +130,60 @@ def test_scalar_rules_differ_only_where_stated(spark, simulated):
     other = as_dict(correct.corrected(reads, searcher, 21, profile, compat="scalar"))
     assert same.keys() == other.keys()
     assert sum(same[i] != other[i] for i in same) < len(same) * 0.1
+
+
+@pytest.mark.parametrize("k, n", [(10, 1), (10, 3000), (21, 40000), (31, 2000)])
+def test_kmers_are_shipped_without_what_neighbours_share(spark, monkeypatch, k, n):
+    from pyspark.sql import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("k-mers pass the driver")
+
+    rng = np.random.default_rng(k)
+    values = np.unique(np.concatenate((rng.integers(0, 4**k, n), [0, 4**k - 1]))).astype(np.int64)
+    solid = spark.createDataFrame([(int(v),) for v in values], "kmer bigint").repartition(3)
+    if hasattr(DataFrame, "toArrow"):
+        monkeypatch.setattr(type(solid), "toArrow", refuse)
+    members = bloom.ship_kmers(solid, k, len(values))
+    probed = np.unique(np.concatenate((values, values ^ 1, rng.integers(0, 4**k, 5000)))).astype(np.uint64)
+    assert (members.contains(probed) == np.isin(probed, values.astype(np.uint64))).all()
+    assert members.layout.size(83_000_000) < 8 * 83_000_000 or k == 31
+
+
+def test_no_kmers_are_shipped(spark):
+    members = bloom.ship_kmers(spark.createDataFrame([], "kmer bigint"), 21, 0)
+    assert not members.contains(np.arange(9, dtype=np.uint64)).any()
+
+
+def test_a_gigabyte_of_reads_has_its_kmers_shipped():
+    """83 million solid 21-mers, as 1 GB of documents has, took 664 MB."""
+    from readmend.functions.membership import WordLayout
+
+    assert WordLayout.of(83_000_000, 21).size(83_000_000) < 256 << 20
+
+
+@pytest.mark.parametrize("k, part_bytes", [(21, 300_000), (21, 5000), (35, 7000)])
+def test_filter_bits_without_an_aggregate(spark, monkeypatch, tmp_path, k, part_bytes):
+    from readmend.functions.murmur import murmur3_32
+
+    monkeypatch.setattr(bloom, "_SLAB_BITS", 1 << 16)
+    monkeypatch.setattr(bloom, "_KMERS_AT_ONCE", 700)
+    rng = np.random.default_rng(4)
+    texts = sorted({"".join(rng.choice(list("ACGT"), k)) for _ in range(3000)})
+    keys = np.array([list(t.encode()) for t in texts], np.uint8)
+    rows = spark.createDataFrame([(t,) for t in texts], "kmer string").repartition(3)
+    if k == 21:
+        rows = bloom.pack_column(rows, k)
+    model = bloom.build_filter(rows, k, len(texts), 3, f"{tmp_path}/m", 0.01, part_bytes=part_bytes)
+    assert (model.parts > 1) == (part_bytes < 100_000)
+    part = (murmur3_32(keys, model.part_seed) % model.parts if model.parts > 1 else np.zeros(len(keys), int))
+    want = {(int(p), int(b)) for s in model.seeds
+            for p, b in zip(part, murmur3_32(keys, s).astype(np.int64) % model.part_bits)}
+    bits = bloom.filter_bits(rows, model)
+    assert "Aggregate" not in bits._jdf.queryExecution().executedPlan().toString()
+    found = bits.collect()
+    assert len({(r["part"], r["bucket"]) for r in found}) == len(found)
+    got = {(r["part"], r["bucket"] * 32768 + int(i)) for r in found
+           for i in np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))}
+    assert got == want
+    assert model.in_parts.contains(keys, part).all()
