@@ -187,3 +187,25 @@ def test_filter_bits_without_an_aggregate(spark, monkeypatch, tmp_path, k, part_
            for i in np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))}
     assert got == want
     assert model.in_parts.contains(keys, part).all()
+
+
+def test_common_edits_do_not_compare_each_with_each(spark):
+    import time
+
+    from readmend.operators.repair import common_edits
+
+    def shared(*lists):
+        rows = [([[(p, b) for p, b in one] for one in lists],)]
+        df = spark.createDataFrame(rows, "lists array<array<struct<pos:int,base:string>>>")
+        out = df.select(F.expr(common_edits("lists")).alias("c"))
+        assert out.schema["c"].dataType.simpleString() == "array<struct<pos:int,base:string>>"
+        found = out.first()["c"]
+        return found if found is None else [tuple(e) for e in found]
+
+    assert shared() is None and shared([]) == [] and shared([(3, "A")], []) == []
+    assert shared([(5, "A"), (5, "A"), (1, "C")]) == [(5, "A"), (5, "A"), (1, "C")]
+    assert shared([(12, "A"), (7, "T"), (1, "C")], [(1, "C"), (1, "2"), (7, "G"), (12, "A")]) == [(12, "A"), (1, "C")]
+    many = [(i, "ACGT"[i % 4]) for i in range(30000)]
+    start = time.time()
+    assert shared(many, many[::-1]) == many
+    assert time.time() - start < 10
