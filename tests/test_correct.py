@@ -150,6 +150,22 @@ def test_kmers_are_shipped_without_what_neighbours_share(spark, monkeypatch, k,
     assert members.layout.size(83_000_000) < 8 * 83_000_000 or k == 31
 
 
+@pytest.mark.parametrize("k, n", [(10, 3000), (21, 40000), (30, 9000), (31, 2000)])
+def test_kmers_move_in_slabs_before_they_are_shipped(spark, monkeypatch, k, n):
+    """Not as rows that are sorted by range, which took most of the disk."""
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(k)
+    values = np.unique(np.concatenate((rng.integers(0, 4**k, n), np.arange(300), [4**k - 1]))).astype(np.int64)
+    solid = spark.createDataFrame([(int(v),) for v in values], "kmer bigint").repartition(3)
+    monkeypatch.setattr(type(solid), "repartitionByRange", None)
+    monkeypatch.setattr(bloom, "_SLAB_KMERS", 64)
+    monkeypatch.setattr(bloom, "_KMERS_AT_ONCE", 500)
+    members = bloom.ship_kmers(solid, k, len(values))
+    probed = np.unique(np.concatenate((values, values ^ 1, rng.integers(0, 4**k, 5000)))).astype(np.uint64)
+    assert (members.contains(probed) == np.isin(probed, values.astype(np.uint64))).all()
+
+
 def test_no_kmers_are_shipped(spark):
     members = bloom.ship_kmers(spark.createDataFrame([], "kmer bigint"), 21, 0)
     assert not members.contains(np.arange(9, dtype=np.uint64)).any()
