@@ -248,3 +248,48 @@ def test_windows_joined_by_runs(spark, monkeypatch, chunk):
     assert {r[0]: tuple(r[1:]) for r in got} == want
     none = runs.joined_by_runs(reads, kmers.limit(0), 21, "read_id").agg(F.sum("n_solid"), F.count("first_weak")).first()
     assert none[0] == 0 and none[1] > 0
+
+
+@pytest.mark.parametrize("k", [5, 21, 29, 30, 31, 33, 62, 94])
+def test_words_of_packed_runs(k):
+    """Windows are cut from the packed bytes: no array of all bases is rolled."""
+    rng = np.random.default_rng(k)
+    codes = rng.integers(0, 4, 9000).astype(np.uint8)
+    first = np.array([0, 300, 301, 8000])
+    windows = np.array([1, 7, 200, 3])
+    bases = windows + k - 1
+    packed = runs.pack_runs(codes, first, bases)
+    size = -(-bases // 4)
+    got = kc.packed_words(packed, runs._spans(4 * (np.cumsum(size) - size), windows), k)
+    assert got.tolist() == kc.canonical_words(codes, runs._spans(first, windows), k).tolist()
+
+
+def test_small_buckets_are_counted_together():
+    rng = random.Random(5)
+    reads = ["".join(rng.choices("ACGT", k=100)) for _ in range(300)]
+    rows = pa.Table.from_batches(
+        [runs._rows_of(*kc.string_codes(pa.array(reads)), 21, 8192, 8)]).sort_by("bucket")
+    assert rows.num_rows > 1000
+    batches = list(runs.counter(21, 8192, True)(rows.to_batches(max_chunksize=50)))
+    assert len(batches) == 1 and sum(batches[0].column(1).to_pylist()) == 300 * 80
+
+
+def test_windows_in_short_and_odd_reads():
+    rng = random.Random(6)
+    reads = ["".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=rng.randrange(60))) for _ in range(400)] + ["", "ACGTA"]
+    codes, offsets = kc.string_codes(pa.array(reads))
+    want = [int(o) + i for r, o in zip(reads, offsets) for i in range(len(r) - 12) if "N" not in r[i:i + 13]]
+    assert kc.clean_starts(codes, offsets, 13).tolist() == want
+
+
+def test_sorted_counts_are_stored_as_differences(spark):
+    from pyarrow import fs
+
+    from readmend.sources import files
+    from readmend.sources.scratch import written
+
+    n = 200_000
+    table = written(spark.range(0, n, 1, 2).selectExpr("id * 15000000 + id % 7 as kmer", "id % 9 + 2 as n"))
+    system, inner = files.resolve(table.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "file:"))
+    assert sum(f.size for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith("parquet")) < 4 * n
+    assert table.selectExpr("sum(kmer)", "sum(n)").first()[0] == sum(i * 15000000 + i % 7 for i in range(n))
