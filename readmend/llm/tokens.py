@@ -21,15 +21,18 @@ import numpy as np
 END_ID = 2
 CACHE_WORDS = 250_000
 RARE_WORDS = 60_000
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 _ENDS = ".,;:!?"
+#: What the byte-level splitter takes a piece apart into, where it has no apostrophe and no odd letter.
+_RUNS = re.compile(" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@[-`{-~]+)")
 # byte-level vocabularies write each byte as a letter: printable ones as themselves,
 # the others from code point 256 on
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in _PRINTED]
 _BYTE_LETTERS = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(_OTHERS)}
+_SPACE = chr(_BYTE_LETTERS[ord(" ")])
 
 _OPEN: dict[str, PieceTokenizer] = {}
 
@@ -50,9 +53,13 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.rare: dict[str, bytes] = {}
+        # words after one space, without it
+        self.spaced: dict[str, bytes] = {}
+        self.rare_spaced: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             self.pieces = self._splitter(json.load(f))
         self.lower = self.pieces is str.split
+        self.tokenize = self.tokenizer.model.tokenize
         self.ends = {"": []} | {
             e: self.tokenizer.encode(e, add_special_tokens=False).ids for e in _ENDS}
 
@@ -85,9 +92,12 @@ class PieceTokenizer:
             if not text:
                 yield b""
                 continue
-            if self.pieces is None or _ODD.search(text):
+            if self.pieces is None or any(odd in text for odd in _ODD):
                 yield self._whole(text)
                 continue
+            if not self.lower and (ids := self._of_words(text)) is not None:
+                yield ids
+                continue
             pieces = self.pieces(text)
             parts = list(map(known.get, pieces))
             if None in parts:
@@ -99,19 +109,59 @@ class PieceTokenizer:
                     parts[i] = rare.get(piece) or known.get(piece) or self._learn(piece)
             yield b"".join(parts)
 
+    def _of_words(self, text: str) -> bytes | None:
+        """The ids of a text whose words are all parted by one space or one line end; None of others. It is cut
+        without a regular expression."""
+        known, out = self.spaced, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            parts = list(map(known.get, words))
+            first = words[0]
+            if first.split() != [first]:
+                return None
+            parts[0] = self.known.get(first) or self.rare.get(first) or self._learn(first)
+            if None in parts:
+                if len(self.rare_spaced) > RARE_WORDS:
+                    self.rare_spaced = {}
+                rare = self.rare_spaced
+                for i in [i for i, ids in enumerate(parts) if ids is None]:
+                    word = words[i]
+                    ids = rare.get(word) or known.get(word)
+                    if ids is None:
+                        if word.split() != [word]:
+                            return None
+                        into = known if len(known) + len(self.known) < CACHE_WORDS else rare
+                        into[word] = ids = self._ids(" " + word)
+                    parts[i] = ids
+            out.append(b"".join(parts))
+        if len(self.rare) > RARE_WORDS:
+            self.rare = {}
+        return out[0] if len(out) == 1 else self._line_end().join(out)
+
+    def _line_end(self) -> bytes:
+        return self.known.get("\n") or self.rare.get("\n") or self._learn("\n")
+
     def _learn(self, piece: str) -> bytes:
+        ids = self._ids(piece)
+        # frequent pieces turn up early, so the first ones stay for good
+        into = self.known if len(self.known) + len(self.spaced) < CACHE_WORDS else self.rare
+        into[piece] = ids
+        return ids
+
+    def _ids(self, piece: str) -> bytes:
         body, end = (piece[:-1], piece[-1]) if piece[-1] in _ENDS else (piece, "")
-        word = body[1:] if body[:1] == " " else body
-        if word.isalpha() and max(word) <= "\xff":  # one word of the splitter
+        spaced = body[:1] == " "
+        word = body[1:] if spaced else body
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff"):  # one word of the splitter
             body = body.lower() if self.lower else body
-            letters = body.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = [t.id for t in self.tokenizer.model.tokenize(letters)] + self.ends[end]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        # frequent pieces turn up early, so the first ones stay for good
-        into = self.known if len(self.known) < CACHE_WORDS else self.rare
-        into[piece] = out = array("I", ids).tobytes()
-        return out
+            if not word.isascii():
+                body = body.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            elif spaced:
+                body = _SPACE + body[1:]
+            return array("I", [t.id for t in self.tokenize(body)] + self.ends[end]).tobytes()
+        if not self.lower and len(runs := _RUNS.findall(piece)) > 1 and sum(map(len, runs)) == len(piece):
+            return b"".join([self.rare.get(run) or self.known.get(run) or self._learn(run) for run in runs])
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
 
 def open_tokenizer(path: str) -> PieceTokenizer:

@@ -27,6 +27,29 @@ def test_pieces_give_the_library_ids(path):
             assert list(np.frombuffer(ids, "<u4")) == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_are_cut_without_a_regular_expression():
+    own = PieceTokenizer(BYTES)
+    rng = random.Random(2)
+    words = ["aB", "é", "don't", "x,", "12.5%", "a%%%.", "___", "I'm1", "½a", "日本", "!a"]
+    texts = ["".join(rng.choice(words) + rng.choice("    \n") for _ in range(30)) + "z" for _ in range(300)]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def refuse(text):
+        raise AssertionError(text)
+
+    own.pieces = refuse
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts)] == want
+
+
+def test_symbols_after_a_word_do_not_go_to_the_library():
+    own = PieceTokenizer(BYTES)
+    want = {p: own.tokenizer.encode(p, add_special_tokens=False).ids for p in (" mot%%%", " fin***", "Ça,%%%", " a1&&&.")}
+    own.encode_all(["%%%", "***", "1", "&&&.", ",%%%"])
+    own.tokenizer = None
+    assert {p: np.frombuffer(own.encode(p), "<u4").tolist() for p in want} == want
+
+
 def plan_of(counts, **options):
     plan = packing.plan_packing(dict(counts), **options)
     used = Counter()
