@@ -4,9 +4,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import complement
+from conftest import complement, simulate
 from pyspark.sql import functions as F
 
+from readmend.config import InputError
 from readmend.functions import kmer_codes as kc
 from readmend.functions.kmers import kmer_text
 from readmend.operators import runs, spectrum
@@ -293,3 +294,32 @@ def test_sorted_counts_are_stored_as_differences(spark):
     system, inner = files.resolve(table.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "file:"))
     assert sum(f.size for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith("parquet")) < 4 * n
     assert table.selectExpr("sum(kmer)", "sum(n)").first()[0] == sum(i * 15000000 + i % 7 for i in range(n))
+
+
+def _shuffled(spark):
+    """Bytes of each shuffle's data that lie on the disk."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [found.apply(i) for i in range(found.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_only_solid_kmers_are_stored_and_no_shuffle_is_left(spark):
+    reads = spark.createDataFrame([(s,) for _, s, _, _ in simulate()], "seq string").repartition(3)
+    counts = spectrum.kmer_counts(reads, 13)
+    hist = spectrum.kmer_histogram(counts)
+    threshold = spectrum.find_threshold(hist)
+    assert threshold > 2
+    want = {tuple(r) for r in counts.where(F.col("n") >= threshold).collect()}
+    before = _shuffled(spark)
+    table, least, n_solid = spectrum.solid_counts(counts)
+    assert (least, n_solid) == (threshold, len(want))
+    assert {tuple(r) for r in table.collect()} == want
+    # the runs of the reads took 30 KB and more; one row of a task is left
+    assert sum(size for name, size in _shuffled(spark).items() if name not in before) < 3000
+    assert spectrum.unique_solid(hist, threshold).first()["n_solid"] == n_solid
+
+
+def test_solid_counts_without_a_valley_raise(spark):
+    reads = spark.createDataFrame([("ACGTTGCATTACGGAC",)] * 2, "seq string")
+    with pytest.raises(InputError, match="no valley"):
+        spectrum.solid_counts(spectrum.kmer_counts(reads, 13))
