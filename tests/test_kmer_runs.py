@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -323,3 +324,18 @@ def test_solid_counts_without_a_valley_raise(spark):
     reads = spark.createDataFrame([("ACGTTGCATTACGGAC",)] * 2, "seq string")
     with pytest.raises(InputError, match="no valley"):
         spectrum.solid_counts(spectrum.kmer_counts(reads, 13))
+
+
+def test_bloom_params_store_the_histogram_only(spark, tmp_path):
+    from readmend.plans import catalog
+    from readmend.sources.scratch import scratch_dir
+
+    rng = random.Random(9)
+    text = "".join(rng.choices("acgt", k=20_000))
+    copies = [text] * 4 + [text[:at] + "tgca" + text[at + 4:] for at in range(100, 20_000, 1000)]
+    spark.createDataFrame(enumerate(copies), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    found = catalog.bloom_params(spark, str(tmp_path)).first()
+    assert found["num_kmers"] > 15_000
+    assert sum(p.stat().st_size for p in folder.rglob("*.parquet") if p not in before and p.is_file()) < 20_000
