@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with their
 columns; the last one returns the packed pieces. A stage's result is written as Parquet and
-reread before the next one begins. Further columns of `docs` are kept as they are.
+reread before the next one begins, and the driver drops what the one before left behind. Further columns of `docs` are kept as they are.
 
 1. quality: documents scored under one half by the rule ensemble go.
 2. toxicity: documents scored 0.7 or more go.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from readmend.llm import balance, minhash, packing, rule_quality, toxicity
-from readmend.llm.common import scratch_path, table
+from readmend.llm.common import garbage_dropped, scratch_path, table
 from readmend.llm.tokens import public_path
 from readmend.sources.package import send_package
 
@@ -28,22 +28,27 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    garbage_dropped(spark)
     return rule_quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    garbage_dropped(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    garbage_dropped(spark)
     return minhash.deduplicated(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    garbage_dropped(spark)
     return balance.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    garbage_dropped(spark)
     return packing.pack_documents(docs, public_path("byte_bpe_50k.json"))
 
 

@@ -7,8 +7,8 @@ logistic regression on the rules' indicators with an L1 penalty keeps few of the
 penalty is the one that does best on a fifth of the rows. The rules left are compiled into
 one column expression, so every text is scored inside the executors' JVM.
 
-Learning takes at most `MOST_ROWS` labelled documents of each kind and only their statistics
-come to the driver. Where that leaves out labels, the two kinds are sampled at different
+Learning takes at most `MOST_ROWS` labelled documents of each kind; one task learns from their
+statistics, and only the rules come to the driver. Where that leaves out labels, the two kinds are sampled at different
 rates; the level is moved by the log of their quotient, so scores follow the share of good
 documents among all labels and not the one in the sample. A null text is an empty one, with all statistics 0, and is scored as
 any other. Without labels of both kinds every score is the (smoothed) share of label 1.
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readmend.llm.common import held_out, learning_sample, sampling_rates
+from readmend.llm.common import held_out, learning_sample, learnt, sampling_rates
 
 MOST_ROWS = {0: 4000, 1: 6000}
 THRESHOLD = 0.5
@@ -220,10 +220,14 @@ def fit(x: np.ndarray, y: np.ndarray, rates: dict[int, float] | None = None) ->
 
 def learn(docs: DataFrame, labels: DataFrame) -> RuleModel:
     sample = learning_sample(docs, labels, "quality", MOST_ROWS)
-    rows = sorted(map(tuple, sample.select("doc_id", "label", statistics(F.col("text")).alias("s"))
-                      .select("doc_id", "label", "s.*").collect()))
-    x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(STATISTICS))
-    return fit(x, np.array([r[1] for r in rows]), sampling_rates(labels, "quality", MOST_ROWS))
+    rates = sampling_rates(labels, "quality", MOST_ROWS)
+
+    def fitted(rows):
+        x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(STATISTICS))
+        return fit(x, np.array([r[1] for r in rows]), rates)
+
+    return learnt(sample.select("doc_id", "label", statistics(F.col("text")).alias("s"))
+                  .select("doc_id", "label", "s.*"), fitted)
 
 
 def quality(text: Column, model: RuleModel) -> Column:

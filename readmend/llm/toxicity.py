@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readmend.llm.common import held_out, learning_sample, sampling_rates
+from readmend.llm.common import held_out, learning_sample, learnt, sampling_rates
 
 MOST_TOXIC, MOST_ORDINARY = 2000, 5000
 SHARED_BYTES, OWN_BYTES = 2048, 32768
@@ -139,7 +139,7 @@ def train_dictionaries(rows: list[tuple[list[bytes], int]]) -> Model:
 
 def _cells(model: Model, rows) -> list[set]:
     """The cells of each row's windows. A window is compressed once, and equal cells are one
-    object: this is the most that learning holds on the driver."""
+    object: this is the most that learning holds."""
     cell_of: dict[bytes, tuple] = {}
     shared: dict[tuple, tuple] = {}
     for w in {w for found, _ in rows for w in found}:
@@ -200,9 +200,9 @@ def fit(rows: list[tuple[str, int]], rates: dict[int, float] | None = None) -> M
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     most = {1: MOST_TOXIC, 0: MOST_ORDINARY}
-    sample = learning_sample(docs, labels, "toxic", most)
-    return fit([(r["text"], r["label"]) for r in sorted(
-        sample.select("doc_id", "text", "label").collect())], sampling_rates(labels, "toxic", most))
+    sample = learning_sample(docs, labels, "toxic", most).select("doc_id", "text", "label")
+    rates = sampling_rates(labels, "toxic", most)
+    return learnt(sample, lambda rows: fit([(text, label) for _, text, label in rows], rates))
 
 
 def toxicity(text: Column, model: Model) -> Column:
