@@ -154,6 +154,27 @@ def test_a_bucket_of_many_kmers_is_not_held_whole(spark, monkeypatch):
     same_counts(df, reads, 21, 2)
 
 
+@pytest.mark.parametrize("k, most", [(21, 500), (33, 50)])
+def test_a_large_bucket_is_counted_by_its_task(monkeypatch, k, most):
+    """A bucket of several times `_MOST_WORDS` is counted in passes, and none of it is left to the aggregate."""
+    monkeypatch.setattr(runs, "_MOST_WORDS", most * len(kc.word_bases(k)))
+    reads = reads_with_a_hot_minimizer(200)
+    reads += reads[:60]
+    rows = pa.Table.from_batches(
+        [runs._rows_of(*kc.string_codes(pa.array(reads[i:i + 2])), k, 64, 8) for i in range(0, len(reads), 2)])
+    windows = Counter()
+    for bucket, lengths in zip(*(rows.column(c).to_pylist() for c in (0, 1))):
+        windows[bucket] += sum(lengths)
+    assert 4 * most < max(windows.values()) < 16 * most
+    rows = rows.sort_by("bucket").to_batches(max_chunksize=4)
+    assert sum(b.num_rows for b in runs.counter(k, 64, False)(rows)) == 0
+    batches = list(runs.counter(k, 64, True)(rows))
+    found = [tuple(row) for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
+    assert max(b.num_rows for b in batches) < 2 * most
+    assert len({row[:-1] for row in found}) == len(found)
+    assert sorted(row[-1] for row in found) == sorted(plain(reads, k).values())
+
+
 def same_counts(df, reads, k, at_least):
     got = runs.count_by_runs(df, k, at_least).select(kmer_text(F.col("kmer"), k), "n").collect()
     expected = {w: n for w, n in plain(reads, k).items() if n >= at_least}
