@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readmend.llm.common import stored
+from readmend.llm.common import garbage_dropped, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -109,6 +109,7 @@ def solve_rates(histogram: DataFrame, sources: DataFrame) -> DataFrame:
     words = F.col("n") * F.col("size") * rate
     slope = F.when(F.col("tilt") * scaled < math.log(MAX_COPIES), words * scaled).otherwise(0.0)
     for _ in range(STEPS):
+        garbage_dropped(histogram.sparkSession)
         sums = histogram.join(state.where("not full"), "sid").groupBy("sid").agg(
             F.sum(words).alias("words"), F.sum(slope).alias("slope"))
         t = state.join(sums, "sid", "left")

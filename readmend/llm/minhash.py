@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readmend.llm.common import stored
+from readmend.llm.common import garbage_dropped, stored
 from readmend.llm.components import connected_components
 from readmend.llm.text_hash import grams, mixed, word_hashes
 
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     numbers = ["n", "s0", "s1", "s2", "s3"]
     for turn in range(PIVOTS):
+        garbage_dropped(docs.sparkSession)
         open_rows = _labelled(members, edges)
         # first the least document of the main component, then the least one outside of it
         outside = F.col("component") != F.col("main")
@@ -254,6 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                       + _plausible("m", "p")))
         pairs = _pairs(pairs.select(F.col("m.rep").alias("x"), F.col("p.rep").alias("y")))
         edges = stored(edges.union(confirmed(pairs, texts)), "links")
+    garbage_dropped(docs.sparkSession)
     edges = stored(edges.union(_links_to_blocks(_labelled(members, edges), texts)), "links")
 
     names = connected_components(edges).select(F.col("node").alias("rep"), "component")
