@@ -1,0 +1,24 @@
+"""Reads derived from texts: letters are looked up by batch, not translated one by one."""
+
+from readmend.sources import documents
+
+TEXTS = ["Quick brown fox, jumps OVER 13 lazy dogs; wizard " * 9, "", None, "İstanbul Kelvin été z" * 20, "123 456", "w"]
+
+
+def plain(text):
+    t = "".join(c for c in text.lower() if "a" <= c <= "z")
+    at = [str.maketrans(documents.LETTERS, a) for a in
+          (documents.LETTER_BASES, documents._OTHER_STRAND, documents.LETTER_QUALITIES)]
+    for j in range(-(-len(t) // 100)):
+        one, two = t[100 * j:100 * j + 100], t[100 * j + 50:100 * j + 150] or t[100 * j:100 * j + 100]
+        yield (j, one.translate(at[0]), one.translate(at[2])[::-1], two.translate(at[1])[::-1], two.translate(at[2]))
+
+
+def test_reads_are_spelled_by_batch(spark, tmp_path):
+    rows = list(enumerate(TEXTS * 3))
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((i * documents.PAIRS_PER_TEXT + j, *rest) for i, t in rows if t is not None for j, *rest in plain(t))
+    pairs = documents.read_pairs(spark, str(tmp_path))
+    assert sorted(map(tuple, pairs.collect())) == want and len(want) > 20
+    plan = documents.mates_to_reads(pairs).select("seq")._jdf.queryExecution().executedPlan().toString()
+    assert "translate(" not in plan and plan.count("looked_up(") == 2  # qualities are not made
