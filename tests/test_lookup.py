@@ -72,3 +72,24 @@ def test_the_profile_scans_the_reads_once(spark, monkeypatch):
     profile = catalog._profile(spark, "")
     assert seen.value == 70
     assert profile == quality.profile(quality.quality_histogram(reads))
+
+
+def test_a_built_filter_leaves_no_shuffle_and_moves_three_bytes_a_bit(spark, tmp_path):
+    def on_disk():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [found.apply(i) for i in range(found.size())]
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    values = np.random.default_rng(2).integers(0, 4 ** 21, 60_000)
+    solid = spark.createDataFrame([(int(v),) for v in values], "kmer bigint").repartition(3).cache()
+    solid.count()
+    before = set(on_disk())
+    model = bloom.build_filter(solid, 21, len(values), 3, f"{tmp_path}/m", 0.001)
+    assert sum(size for name, size in on_disk().items() if name not in before) < 20_000
+    moved = bloom.filter_bits(solid, model)
+    moved.write.format("noop").mode("overwrite").save()
+    shuffled = sum(size for name, size in on_disk().items() if name not in before)
+    assert len(values) < shuffled < 3.3 * len(values) * model.num_hash
+    keys = Keys.of_packed(values, 21)
+    assert model.in_parts.contains(keys, np.zeros(len(values), int)).all()
+    solid.unpersist()
